@@ -1,0 +1 @@
+"""Text and vector operators for training data.  Nothing outside imports this package."""

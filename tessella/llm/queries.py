@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import conversations, copies
+from tessella.llm import conversations, copies, leaks, tokenizing
 from tessella.sources.tables import table
 
 
@@ -22,7 +22,19 @@ def p7_messages(spark, d):
     return conversations.messages(table(spark, d, "turns"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_messages": p7_messages}
+def p8_ids(spark, d):
+    return tokenizing.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_cleaned(spark, d):
+    return leaks.without_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).where("n_removed > 0")
+
+
+QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
 
 _CANON = "regexp_replace(lower(nfc_normalize({c})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
 _PART = "regexp_full_match(x, '(?s)[\\pP\\pS\\s]*[\\p{L}\\p{N}]+\\s*[:=].*')"
@@ -30,7 +42,7 @@ P5_ROWS = f"""
 WITH a AS (SELECT id, scope, {_CANON.format(c="coalesce(category, '')")} AS cat, {_CANON.format(c='content')} AS txt,
   list_filter(regexp_split_to_array(content, '[;|\\n\\r]'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS parts FROM memories),
 b AS (SELECT *, len(parts) > 1 AND len(list_filter(parts, lambda x: NOT {_PART})) = 0 AS made FROM a WHERE regexp_matches(txt, '[\\p{{L}}\\p{{N}}]')),
-g AS (SELECT id, scope, cat, CASE WHEN made THEN array_to_string(list_sort(list_transform(parts, x ->
+g AS (SELECT id, scope, cat, CASE WHEN made THEN array_to_string(list_sort(list_transform(parts, lambda x:
   {_CANON.format(c="regexp_extract(x, '(?s)^([^:=]*)[:=]', 1)")} || ':' || {_CANON.format(c="regexp_extract(x, '(?s)^[^:=]*[:=](.*)$', 1)")})), '|') ELSE txt END AS k FROM b),
 f AS (SELECT id, min(id) OVER (PARTITION BY scope, cat, k) AS first_id FROM g)
 """
