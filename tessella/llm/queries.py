@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import conversations, copies, leaks, tokenizing
+from tessella.llm import conversations, copies, leaks, mojibake, tokenizing
 from tessella.sources.tables import table
 
 
@@ -34,7 +34,15 @@ def p9_cleaned(spark, d):
     return leaks.without_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).where("n_removed > 0")
 
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned}
+def p10_found(spark, d):
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+def p10_restored(spark, d):
+    return mojibake.restored(table(spark, d, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _CANON = "regexp_replace(lower(nfc_normalize({c})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
 _PART = "regexp_full_match(x, '(?s)[\\pP\\pS\\s]*[\\p{L}\\p{N}]+\\s*[:=].*')"
