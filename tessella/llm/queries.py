@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import conversations, copies, leaks, mojibake, tokenizing
+from pyspark.sql import functions as F
+
+from tessella.llm import conversations, copies, leaks, mojibake, tokenizing, vectors
 from tessella.sources.tables import table
 
 
@@ -14,6 +16,18 @@ def p5_collapsed(spark, d):
     return copies.collapse(table(spark, d, "memories"))
 
 
+def _collections(spark, d):
+    return [
+        vectors.collection(table(spark, d, "memories"), "memories", F.col("id").cast("string"), "embedding", 64),
+        vectors.collection(table(spark, d, "knowledge_nodes"), "knowledge_nodes", F.col("id").cast("string"), "embedding", 64),
+        vectors.chunk_collection(table(spark, d, "kb_chunks")),
+    ]
+
+
+def p6_found(spark, d):
+    return vectors.similar_pairs(_collections(spark, d))
+
+
 def p7_found(spark, d):
     return conversations.dropped(table(spark, d, "turns"))
 
@@ -42,7 +56,7 @@ def p10_restored(spark, d):
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _CANON = "regexp_replace(lower(nfc_normalize({c})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
 _PART = "regexp_full_match(x, '(?s)[\\pP\\pS\\s]*[\\p{L}\\p{N}]+\\s*[:=].*')"
