@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import conversations, copies, leaks, mojibake, names, tokenizing, vectors
+from tessella.llm import conversations, copies, leaks, mojibake, names, personal, tokenizing, vectors
 from tessella.sources.tables import table
 
 
@@ -16,6 +16,18 @@ def p1_entities(spark, d):
     return names.entities(table(spark, d, "knowledge_nodes"))
 
 
+def _fields(spark, d):
+    return personal.text_fields(table(spark, d, "turns"), table(spark, d, "memories"))
+
+
+def p3_found(spark, d):
+    return personal.occurrences(_fields(spark, d))
+
+
+def p3_redacted(spark, d):
+    return personal.redacted(_fields(spark, d))
+
+
 def p5_found(spark, d):
     return copies.copy_pairs(table(spark, d, "memories"))
 
@@ -64,7 +76,7 @@ def p10_restored(spark, d):
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p7_found": p7_found, "p7_messages": p7_messages, "p8_ids": p8_ids, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _CANON = "regexp_replace(lower(nfc_normalize({c})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
 _PART = "regexp_full_match(x, '(?s)[\\pP\\pS\\s]*[\\p{L}\\p{N}]+\\s*[:=].*')"
