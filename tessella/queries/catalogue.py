@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.queries import problems
+from tessella.queries import knowledge, problems, store
 
-_MODULES = (problems,)
+_MODULES = (problems, store, knowledge)
 
 
 def queries() -> dict:
