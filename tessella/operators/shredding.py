@@ -80,7 +80,8 @@ class Chunk:
         self.kids: dict[str, Chunk] = {}
 
 
-_OBJECT = object()  # the value of a level that holds an object
+class _OBJECT:
+    """The value of a level that holds an object; a class, so that it stays itself when a task is shipped."""
 
 
 def _kid(node: Chunk, name: str, repeated: bool, n_before: int) -> Chunk:

@@ -254,8 +254,8 @@ SELECT 'q' AS query_id, document_id, version, ordinal, score, place FROM (SELECT
 
 @query("doc_search_lexical", _search_sql(False))
 def _(spark, d):
-    # not every served model is the query's, so no vector counts
-    return documents.search(table(spark, d, "kb_chunks"), _doc_queries(spark, d, False), "em-small-64")
+    # without a vector of the query only words count
+    return documents.search(table(spark, d, "kb_chunks"), _doc_queries(spark, d, False))
 
 
 @query("doc_search_hybrid", _search_sql(True))
