@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.durable import spread
+from tessella.plans.durable import cut, spread
 from tessella.plans.skew import hot_keys, lookup_join
 
 _PARTS = re.compile(r"[;|\n\r]")
@@ -106,7 +106,8 @@ def encode(df: DataFrame, id_col: str = "id", scope_col: str = "scope", category
 
 def grouped(df: DataFrame, **columns: str) -> DataFrame:
     """id, scope, cat_id, group_id: every record that takes part with the identifier of its group."""
-    rows = encode(df, **columns)
+    # the compact rows are written once; every later step reads them instead of the texts
+    rows = cut(encode(df, **columns))
     scope = F.coalesce("scope", F.lit("\x00"))
     rows = rows.select("id", scope.alias("scope"), "cat_id", "text_id", "tuple_id")
     made = rows.where(F.col("tuple_id").isNotNull())
