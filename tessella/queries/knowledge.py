@@ -58,7 +58,11 @@ def _(spark, d):
     return graph.upsert_nodes(_ne(spark, d)[0]).select("id", "scope", "node_type", "label", F.col("embedding").isNotNull().alias("has_vector"), "n_writes")
 
 
-@query("edges_upserted")
+@query("edges_upserted", f"""WITH w AS (SELECT * FROM {EDGES} WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+k AS (SELECT scope, source_id, target_id, relation, min(id) FILTER (WHERE status <> 'proposed') AS at, arg_min(status, id) FILTER (WHERE status <> 'proposed') AS st FROM w GROUP BY ALL),
+a AS (SELECT w.*, coalesce(k.st, 'proposed') AS final FROM w JOIN k ON k.scope IS NOT DISTINCT FROM w.scope AND k.source_id = w.source_id AND k.target_id = w.target_id AND k.relation IS NOT DISTINCT FROM w.relation
+ WHERE NOT (w.status = 'proposed' AND coalesce(k.st = 'accepted' AND w.id > k.at, false)))
+SELECT min(id) AS id, scope, source_id, target_id, relation, min(final) AS status, coalesce(arg_min(audience, id) FILTER (WHERE audience <> ''), '') AS audience, round(max(confidence::DOUBLE), 6) AS confidence, count(*) AS n_applied FROM a GROUP BY scope, source_id, target_id, relation""")
 def _(spark, d):
     return graph.upsert_edges(_ne(spark, d)[1])
 
@@ -144,7 +148,14 @@ def _(spark, d):
     return graph.pending(e, n, READER)
 
 
-@query("graph_context")
+_DETAIL = "array_to_string(list_transform(list_filter(list_transform(list_sort(map_entries(e.attributes)), lambda x: {'k': x.key, 'v': trim(regexp_replace(x.value, '\\s+', ' ', 'g'))}), lambda x: x.v <> ''), lambda x: x.k || ': ' || x.v), '; ')"
+
+
+@query("graph_context", f"""WITH w AS ({_walk_sql(2)}),
+l AS (SELECT w.scope, w.start_id, w.depth, w.edge_id, s.label AS a, e.relation AS r, t.label AS b, coalesce({_DETAIL}, '') AS dt FROM w JOIN knowledge_edges e ON e.scope = w.scope AND e.id = w.edge_id JOIN knowledge_nodes s ON s.scope = e.scope AND s.id = e.source_id JOIN knowledge_nodes t ON t.scope = e.scope AND t.id = e.target_id),
+n AS (SELECT *, '- ' || a || ' --[' || r || ']--> ' || b || CASE WHEN dt = '' THEN '' WHEN length(dt) > 120 THEN ' (' || rtrim(dt[1:119]) || '…)' ELSE ' (' || dt || ')' END AS line FROM l),
+u AS (SELECT *, 17 + sum(length(line) + 1) OVER (PARTITION BY scope, start_id ORDER BY depth, edge_id) AS used FROM n WHERE line IS NOT NULL)
+SELECT scope, start_id, '[Knowledge Graph]' || chr(10) || string_agg(line, chr(10) ORDER BY depth, edge_id) AS context FROM u WHERE used <= 2000 GROUP BY 1, 2""")
 def _(spark, d):
     n, e = _ne(spark, d)
     return graph.context(graph.context_lines(graph.walk(e, _starts(spark, d), READER, 2), e, n))
