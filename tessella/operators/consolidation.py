@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +85,37 @@ def close_summary(turns: DataFrame) -> DataFrame:
         F.count_if(F.col("feedback") == -1).alias("n_disliked"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("domains", F.array().cast("array<string>")))))), ",").alias("domains"),
     )
+
+
+def periodic(turns: DataFrame, model, n: int = BATCH, confidence: float = FROM_MODEL) -> DataFrame:
+    """scope, session_id, category, content, confidence, first_heard_by: memories a model draws from each session's last liked turns.
+
+    ``model``: list of transcripts -> list of replies, called on Arrow batches where the rows are; a failing call gives no memory.
+    """
+    batch = last_liked(turns, n)
+    texts = transcripts(batch).join(sole_voice(batch), ["scope", "session_id"])
+
+    @F.pandas_udf("string")
+    def reply(t: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(model(t.tolist()), dtype="object")
+        except Exception:  # noqa: BLE001 - one bad batch must not end the job
+            return pd.Series([None] * len(t), dtype="object")
+
+    said = texts.select(F.struct("scope", "session_id", "voice").alias("reply_id"), reply("transcript").alias("raw"))
+    return parse_memories(said, confidence).select("reply_id.scope", "reply_id.session_id", "category", "content", "confidence", F.col("reply_id.voice").alias("first_heard_by"))
+
+
+def parse_relations(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: reply_id, label, node_type; edges: reply_id, source, target, relation, confidence) of model replies, tolerant of anything else."""
+    from tessella.operators.graph import node_type
+
+    bare = F.regexp_replace(F.regexp_replace(F.trim("raw"), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+    schema = "nodes array<struct<label:string,type:string>>, edges array<struct<source:string,target:string,relation:string,confidence:string>>"
+    parsed = replies.select("reply_id", F.from_json(bare, schema).alias("p"))
+    nodes = parsed.select("reply_id", F.explode("p.nodes").alias("n")).where(F.coalesce("n.label", F.lit("")) != "")
+    edges = parsed.select("reply_id", F.explode("p.edges").alias("e")).where((F.coalesce("e.source", F.lit("")) != "") & (F.coalesce("e.target", F.lit("")) != "") & (F.coalesce("e.relation", F.lit("")) != ""))
+    return (
+        nodes.select("reply_id", "n.label", node_type(F.coalesce("n.type", F.lit("CONCEPT"))).alias("node_type")),
+        edges.select("reply_id", "e.source", "e.target", "e.relation", F.coalesce(F.expr("try_cast(e.confidence AS double)"), F.lit(1.0)).alias("confidence")),
+    )

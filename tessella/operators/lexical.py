@@ -75,3 +75,45 @@ def decide(ranked: DataFrame, anchors: list[str], failed: bool = False, floor: f
     decision = F.when(F.col("__h") > 0, "relevant").when(F.lit(failed), "error").when(F.col("__p") > 0, "partial").otherwise("nothing_relevant")
     picked = F.when(F.col("__h") > 0, F.least("__h", F.lit(top))).when(F.lit(failed), 0).otherwise(F.least("__p", F.lit(top)))
     return rows.select("scope", decision.alias("decision"), picked.cast("bigint").alias("n_picked"))
+
+
+CLIP = 600
+
+
+def variants(query: str, original: str | None) -> list[str]:
+    """The question, and how it was first put if that adds a term."""
+    mine = {t for t in text._py_tokens(query) if t not in text.STOPWORDS}
+    other = {t for t in text._py_tokens(original or "") if t not in text.STOPWORDS}
+    return [query, original] if original and other - mine else [query]
+
+
+def anchor(label: str) -> str:
+    """A label's words without function words at its ends."""
+    words = text._py_tokens(label)
+    while words and words[0] in text.STOPWORDS:
+        words = words[1:]
+    while words and words[-1] in text.STOPWORDS:
+        words = words[:-1]
+    return " ".join(words)
+
+
+def partial(ranked: DataFrame, anchors: list[str], top: int = TOP) -> DataFrame:
+    """scope, id, place: candidates that name an anchor at an end, then graph candidates that go on from one of those, ``top`` per scope."""
+    words = [w for w in (anchor(a) for a in anchors) if w]
+    hit = F.lit(False)
+    for w in words:
+        for end in ("head", "tail"):
+            hit = hit | F.concat(F.lit(" "), F.col(end), F.lit(" ")).contains(f" {w} ")
+    marked = ranked.withColumn("__hit", hit)
+    ends = marked.where("__hit AND tail <> ''").select("scope", F.col("tail").alias("head"), F.lit(True).alias("__on")).distinct()
+    met = marked.join(ends, ["scope", "head"], "left").where(F.col("__hit") | (F.coalesce("__on", F.lit(False)) & (F.col("source") == "graph")))
+    w = Window.partitionBy("scope").orderBy(F.col("__hit").desc(), F.col("place"))
+    return met.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).select("scope", "id", F.col("__n").alias("place"))
+
+
+def render(picked: DataFrame, header: str) -> DataFrame:
+    """scope, block: numbered lines of the picked candidates, each cut at a bound."""
+    body = text.squeezed(F.col("body"))
+    line = F.concat(F.lit("["), F.col("id"), F.lit("] "), F.when(F.length(body) > CLIP, F.concat(F.left(body, F.lit(CLIP - 1)), F.lit("…"))).otherwise(body))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    return picked.groupBy("scope").agg(F.concat(F.lit(header + "\n"), F.array_join(lines, "\n")).alias("block"))
