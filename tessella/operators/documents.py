@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
 from tessella.operators.guards import need_limit
+from tessella.plans.sized import blocks
 
 MAX_SECTIONS, CHARS_PER_TOKEN, PAGE = 50, 4, 50
 
@@ -50,12 +53,12 @@ def search(chunks: DataFrame, queries: DataFrame, query_model: str | None = None
 
     All or none: vectors count only if every served model is the query's (``vectors_used`` says so when known); then
     every served chunk is a candidate, else those with a word of the query.  ``queries`` (query_id, query_text,
-    query_vector) are few and stated; they meet all chunks in one pass, broadcast.
+    query_vector) are stated; they meet all chunks in blocks of a checked size, one pass each.
     """
     use = query_model is not None and (unavailable_models(chunks, query_model).limit(1).count() == 0 if vectors_used is None else vectors_used)
     rows = chunks.join(served(chunks), ["document_id", "version"], "left_semi").select("document_id", "version", "ordinal", "embedding", F.array_distinct(words(F.col("content"))).alias("__c"))
     asked = queries.select("query_id", "query_vector", F.array_distinct(words(F.col("query_text"))).alias("__q"))
-    met = rows.join(F.broadcast(asked), F.lit(True))
+    met = reduce(DataFrame.unionByName, (rows.join(b, F.lit(True)) for b in blocks(asked, "query_id")))
     lexical = text.share(F.col("__q"), F.col("__c"))
     score = scoring.mean_score(scoring.cosine(F.col("embedding"), F.col("query_vector")) if use else None, lexical, *weights)
     met = met.withColumn("__l", lexical).withColumn("score", F.round(score, 6))

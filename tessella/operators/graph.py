@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
 from tessella.operators.guards import NODE_TYPES, TENANT, need_limit, need_status
+from tessella.plans.sized import small_or_not
 
 STAFF = "__staff__"
 
@@ -145,7 +146,7 @@ def nearest(nodes: DataFrame, edges: DataFrame, queries: DataFrame, reader: str,
     if related_only:
         ends = endpoints(visible_edges(edges, reader)).distinct()
         rows = rows.join(ends.withColumnRenamed("node_id", "id"), ["scope", "id"], "left_semi")
-    met = rows.select("scope", "id", "embedding").join(queries, "scope").withColumn("similarity", F.round(scoring.cosine(F.col("embedding"), F.col("query_vector")), 6))
+    met = rows.select("scope", "id", "embedding").join(small_or_not(queries), "scope").withColumn("similarity", F.round(scoring.cosine(F.col("embedding"), F.col("query_vector")), 6))
     w = Window.partitionBy("scope", "query_id").orderBy(F.col("similarity").desc(), "id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= need_limit(limit)).select("scope", "query_id", "id", "similarity", "place")
 

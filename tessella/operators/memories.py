@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
 from tessella.operators.guards import need_limit, need_text
+from tessella.plans.sized import small_or_not
 
 KEY = ["scope", "category", "content"]
 FEEDBACK_LIMIT = 10.0
@@ -60,7 +61,8 @@ def retrieve(
     # a query's words are cut once, a memory's once
     asked = queries.select("scope", "query_id", "query_vector", text.terms(F.col("query_text")).alias("__q"))
     rows = memories.select("scope", "id", "embedding", "feedback_score", text.terms(F.col("content")).alias("__c"), scoring.usable_vector(F.col("embedding"), width).alias("__ok"))
-    met = rows.join(asked, "scope")
+    # few queries go to the memories; many meet them by scope
+    met = rows.join(small_or_not(asked), "scope")
     has_vector, has_text = F.col("query_vector").isNotNull(), F.coalesce(F.size("__q"), F.lit(0)) > 0
     similar = F.when(has_vector, scoring.cosine(F.col("embedding"), F.col("query_vector"))).otherwise(0.0)
     lexical = F.when(has_text, text.share(F.col("__q"), F.col("__c"))).otherwise(0.0)

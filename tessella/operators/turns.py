@@ -27,10 +27,17 @@ def save(stored: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFra
 
 def allocate(turns: DataFrame) -> DataFrame:
     """Turns whose number is negative get the next numbers of their session in order of ``id``; the first number given is 1."""
-    free = F.col("turn_n") < 0
-    top = F.max(F.when(~free, F.col("turn_n"))).over(Window.partitionBy("scope", "session_id"))
-    nth = F.sum(free.cast("int")).over(Window.partitionBy("scope", "session_id").orderBy("id"))
-    return turns.withColumn("turn_n", F.when(free, F.coalesce(top, F.lit(0)) + nth).otherwise(F.col("turn_n")).cast("int"))
+    free = F.coalesce(F.col("turn_n") < 0, F.lit(False))
+    key = ["scope", "session_id"]
+    numbered = turns.where(~free)
+    # the greatest number is combined before the shuffle; only the rows without one are put in order
+    top = numbered.groupBy(*key).agg(F.max("turn_n").alias("__top"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    new = turns.where(free).withColumn("__n", nth)
+    t = top.select(*[F.col(k).alias(f"__{k}") for k in key], "__top")
+    same = new["scope"].eqNullSafe(t["__scope"]) & new["session_id"].eqNullSafe(t["__session_id"])
+    given = new.join(t, same, "left").withColumn("turn_n", (F.coalesce("__top", F.lit(0)) + F.col("__n")).cast("int"))
+    return numbered.unionByName(given.select(*turns.columns))
 
 
 def loss_counts(losses: DataFrame) -> DataFrame:
