@@ -190,7 +190,7 @@ def _(spark, d):
 # ---- memories
 
 
-@query("memories_saved", "SELECT arg_min(id, (created_at, id)) AS id, scope, category, content, round(arg_max(confidence, (created_at, id)), 4) AS confidence, arg_min(coalesce(feedback_score, -99), (created_at, id)) AS feedback_score, min(created_at) AS created_at, count(embedding) > 0 AS has_vector, count(*) AS n_writes FROM memories GROUP BY scope, category, content")
+@query("memories_saved", "SELECT arg_min(id, (created_at, id)) AS id, scope, category, content, round(arg_max_null(confidence, (created_at, id)), 4) AS confidence, arg_min(coalesce(feedback_score, -99), (created_at, id)) AS feedback_score, min(created_at) AS created_at, count(embedding) > 0 AS has_vector, count(*) AS n_writes FROM memories GROUP BY scope, category, content")
 def _(spark, d):
     rows = memories.save(table(spark, d, "memories"))
     return rows.select("id", "scope", "category", "content", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.coalesce(F.col("feedback_score").cast("double"), F.lit(-99.0)).alias("feedback_score"), "created_at", F.col("embedding").isNotNull().alias("has_vector"), "n_writes")
