@@ -135,6 +135,17 @@ def test_small_odd_and_equal_vectors(spark):
     assert vectors.similar_pairs([frame(spark, rows[24:])]).collect() == []
 
 
+def test_a_very_common_vector_leaves_the_index(spark, monkeypatch):
+    e = np.eye(16)
+    rows = [(f"h{k:02d}", e[0].tolist()) for k in range(60)] + [(f"x{k:02d}", (e[1 + k % 3] + 0.01 * k * e[5]).tolist()) for k in range(30)]
+    plain = {tuple(r) for r in vectors.similar_pairs([frame(spark, rows)]).collect()}
+    monkeypatch.setattr(vectors, "COPIES_FLOOR", 20)
+    got = {tuple(r) for r in vectors.similar_pairs([frame(spark, rows)]).collect()}
+    for k in range(60):
+        assert sum(f"h{k:02d}" in p for p in got) >= 5
+    assert {p for p in got if p[1][0] == "x"} == {p for p in plain if p[1][0] == "x"}
+
+
 def test_dense_and_cut_buckets(monkeypatch):
     rng = np.random.default_rng(1)
     x = vectors._fixed(rng.normal(size=(400, 16)) * 0.05 + np.ones(16))
