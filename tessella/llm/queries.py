@@ -99,7 +99,9 @@ WITH d AS (SELECT DISTINCT scope, {_SID} AS session_id, turn_n, user_input, resp
 v AS (SELECT scope, session_id, bool_and({_THERE.format(c='user_input')} AND {_THERE.format(c='response')}) AND count(turn_n) = count(*)
   AND count(DISTINCT turn_n) = count(*) AND min(turn_n) = 0 AND max(turn_n) = count(*) - 1 AS kept FROM d GROUP BY 1, 2)
 """
+_GRAMS = """(SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT {key}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {tbl} WHERE text IS NOT NULL), unnest(range(1, greatest(1, len(w) - 11))) u(i))"""
 SQL = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format(key='doc_id', tbl='documents')} JOIN {_GRAMS.format(key='item_id', tbl='eval_items')} USING (g)",
     "p5_found": P5_ROWS + "SELECT first_id, id AS copy_id FROM f WHERE id <> first_id",
     "p5_collapsed": P5_ROWS + "SELECT first_id, count(*) AS n_copies FROM f GROUP BY 1",
     "p7_found": P7_JUDGED + "SELECT scope, session_id FROM v WHERE NOT coalesce(kept, false)",
