@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.text import MASKS, STOPWORDS
 from tessella.operators import buffer, consolidation, memories, rerank, sessions, turns
 from tessella.sources.tables import table
 
@@ -99,12 +100,7 @@ def _(spark, d):
 
 def _masks(c: str) -> str:
     out = c
-    for p, to in (
-        (r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", "[CPF MASKED]"),
-        (r"\b\d{11}\b", "[CPF MASKED]"),
-        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL MASKED]"),
-        (r"\b(?:\+55\s?)?\(?\d{2}\)?\s?9?\d{4}[-\s]?\d{4}\b", "[PHONE MASKED]"),
-    ):
+    for p, to in MASKS:
         out = f"regexp_replace({out}, '{p}', '{to}', 'g')"
     return out
 
@@ -207,8 +203,6 @@ COS = "list_cosine_similarity(m.embedding::DOUBLE[], q.v::DOUBLE[])"
 
 
 def stop_list() -> str:
-    from tessella.functions.text import STOPWORDS
-
     return "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
