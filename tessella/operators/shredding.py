@@ -84,6 +84,10 @@ class _OBJECT:
     """The value of a level that holds an object; a class, so that it stays itself when a task is shipped."""
 
 
+class _ARRAY:
+    """The value of a level that holds an array right inside an array, or the one at the top."""
+
+
 def _kid(node: Chunk, name: str, repeated: bool, n_before: int) -> Chunk:
     key = name + _REP if repeated else name
     kid = node.kids.get(key)
@@ -121,7 +125,7 @@ def _put(node: Chunk, value, rep: int, leaves: bool) -> None:
             if leaves or (member.__class__ in _NESTED and (member.__class__ is not str or member[:1] in _OPENERS)):
                 seen.add(_member(node, name, member, rep, n_before, leaves))
     elif isinstance(value, list):
-        node.val.append(None)
+        node.val.append(_ARRAY)
         seen = {_list(node, "", value, rep, n_before, leaves)}
     else:
         node.val.append(value)
@@ -202,44 +206,70 @@ def _render(path: str, at: tuple[int, ...]) -> str:
     return "".join(p + (f"[{at[k]}]" if k < len(parts) - 1 else "") for k, p in enumerate(parts))
 
 
+def _places(chunks: list[Chunk]) -> Iterator[tuple[str, tuple[int, ...], tuple[str, tuple[int, ...]]]]:
+    """(path, positions, parent's path and positions) of every object that is an array's element; the root is ("", ())."""
+    listed: set = set()
+    for chunk in sorted((c for c in chunks if c.repeated), key=lambda c: c.rep_max):
+        for i, at in positions(chunk):
+            if chunk.val[i] is _OBJECT:
+                parent = _owner(chunk.path, at, chunk.rep_max - 1, listed)
+                listed.add((chunk.path, at))
+                yield chunk.path, at, parent
+
+
+def _owner(path: str, at: tuple[int, ...], depth: int, listed) -> tuple[str, tuple[int, ...]]:
+    """The deepest listed object on a path within its first ``depth`` repetitions."""
+    ends = [i + 1 for i, ch in enumerate(path) if ch == _REP]
+    for d in range(depth, 0, -1):
+        key = (path[: ends[d - 1]], at[:d])
+        if key in listed:
+            return key
+    return "", ()
+
+
 def objects(chunks: list[Chunk]) -> list[tuple[str, str, str]]:
     """(obj_path, parent_path, table) of every object that is an array's element, from the level sequences.
 
     ``table`` is the repeated path without positions: one flat table each.
     """
-    rows, listed = [], set()
-    for chunk in sorted((c for c in chunks if c.repeated), key=lambda c: c.rep_max):
-        prefix = [chunk.path[: i + 1] for i, ch in enumerate(chunk.path) if ch == _REP]
-        for i, at in positions(chunk):
-            if chunk.val[i] is not _OBJECT:
+    return [(_render(path, at), _render(*parent), path.replace(_REP, "[]")) for path, at, parent in _places(chunks)]
+
+
+def values(chunks: list[Chunk], listed) -> dict[tuple[str, tuple[int, ...]], list[tuple[str, str]]]:
+    """Every scalar of a record as (name, JSON text), by the listed object around it or the root, from the level sequences.
+
+    The name is the path from that object on, with positions: ``ms``, ``request.client.build``, ``span[0]``.
+    A path may hold scalars in one place and objects or arrays in another.  A null is a value as an element, not as a member.
+    """
+    own: dict[tuple[str, tuple[int, ...]], list[tuple[str, str]]] = {}
+    for c in chunks:
+        for i, at in positions(c):
+            v = c.val[i]
+            if v is _OBJECT or v is _ARRAY:
                 continue
-            parent = ""
-            for depth in range(len(prefix) - 1, 0, -1):
-                key = (prefix[depth - 1], at[:depth])
-                if key in listed:
-                    parent = _render(*key)
-                    break
-            listed.add((chunk.path, at))
-            rows.append((_render(chunk.path, at), parent, chunk.path.replace(_REP, "[]")))
-    return rows
+            key = _owner(c.path, at, c.rep_max, listed)
+            name = _render(c.path[len(key[0]) :], at[len(key[1]) :])
+            own.setdefault(key, []).append((name.removeprefix(".") if key[0] else name, json.dumps(v, ensure_ascii=False)))
+    return own
 
 
 _LEVELS = "trace_id bigint, path string, rep_max int, def_max int, rep array<int>, dfn array<int>, val array<string>"
 
 
 def column_chunks(df: DataFrame, id_col: str = "id", json_col: str = "trace") -> DataFrame:
-    """trace_id, path, rep_max, def_max, rep, dfn, val: the shredded form, a row per record and leaf path; values as JSON text."""
+    """trace_id, path, rep_max, def_max, rep, dfn, val: the shredded form, a row per record and path that holds scalars or ends there; values as JSON text."""
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in ("trace_id", "path", "rep_max", "def_max", "rep", "dfn", "val")}
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for c in shred(text):
-                    if c.kids:
+                    # a path may hold scalars in one place and objects or arrays in another
+                    if c.kids and all(d < c.def_max or v is _OBJECT or v is _ARRAY for d, v in zip(c.dfn, c.val)):
                         continue
                     for name, v in (("trace_id", key), ("path", c.path.replace(_REP, "[]")), ("rep_max", c.rep_max), ("def_max", c.def_max), ("rep", c.rep), ("dfn", c.dfn)):
                         out[name].append(v)
-                    out["val"].append([None if d < c.def_max else "{}" if v is _OBJECT else json.dumps(v, ensure_ascii=False) for d, v in zip(c.dfn, c.val)])
+                    out["val"].append([None if d < c.def_max else "{}" if v is _OBJECT else "[]" if v is _ARRAY else json.dumps(v, ensure_ascii=False) for d, v in zip(c.dfn, c.val)])
             i32 = pa.int32()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["trace_id"], pa.int64()), pa.array(out["path"], pa.string()), pa.array(out["rep_max"], i32), pa.array(out["def_max"], i32), pa.array(out["rep"], pa.list_(i32)), pa.array(out["dfn"], pa.list_(i32)), pa.array(out["val"], pa.list_(pa.string()))],
@@ -249,10 +279,12 @@ def column_chunks(df: DataFrame, id_col: str = "id", json_col: str = "trace") ->
     return spread(df.select(id_col, json_col)).mapInArrow(run, _LEVELS)
 
 
-def object_rows(df: DataFrame, id_col: str = "id", json_col: str = "trace") -> DataFrame:
+def object_rows(df: DataFrame, id_col: str = "id", json_col: str = "trace", roots: bool = False) -> DataFrame:
     """trace_id, obj_path, parent_path, obj_table, fields: a row per array element that is an object.
 
-    ``fields`` maps the object's own scalar members to their JSON text.  One pass, no shuffle.
+    ``roots`` adds a row per readable record for the record itself: obj_path and obj_table ``''``, parent_path null.  ``fields``
+    maps the scalars that belong to no listed object further in, by their path from this one on, to their JSON text (see
+    ``values``); with ``roots`` no scalar of a record is left out.  One pass, no shuffle.
     """
 
     def run(batches):
@@ -262,22 +294,14 @@ def object_rows(df: DataFrame, id_col: str = "id", json_col: str = "trace") -> D
                 chunks = shred(text)
                 if not chunks:
                     continue
-                own: dict[str, list[tuple[str, str]]] = {}
-                for c in chunks:
-                    if c.repeated or c.kids or not c.rep_max:
-                        continue
-                    stem, _, name = c.path.rpartition(_REP + ".")
-                    if _REP in name:
-                        continue
-                    for i, at in positions(c):
-                        if c.val[i] is not _OBJECT and c.val[i] is not None:
-                            own.setdefault(_render(stem + _REP, at), []).append((name, json.dumps(c.val[i], ensure_ascii=False)))
-                for path, parent, tab in objects(chunks):
+                places = list(_places(chunks))
+                own = values(chunks, {(path, at) for path, at, _ in places})
+                for path, at, parent in ([("", (), None)] if roots else []) + places:
                     ids.append(key)
-                    paths.append(path)
-                    parents.append(parent)
-                    tables.append(tab)
-                    fields.append(own.get(path, []))
+                    paths.append(_render(path, at))
+                    parents.append(None if parent is None else _render(*parent))
+                    tables.append(path.replace(_REP, "[]"))
+                    fields.append(own.get((path, at), []))
             s = pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, s), pa.array(parents, s), pa.array(tables, s), pa.array(fields, pa.map_(s, s))], names=["trace_id", "obj_path", "parent_path", "obj_table", "fields"])
 

@@ -25,8 +25,8 @@ def p4_found(spark, d):
 
 
 def p4_tables(spark, d):
-    """One row per object with its flat table's name and its own scalar members."""
-    rows = shredding.object_rows(table(spark, d, "turn_traces"))
+    """One row per object, the trace's own included, with its flat table's name and its own scalars."""
+    rows = shredding.object_rows(table(spark, d, "turn_traces"), roots=True)
     return rows.withColumn("fields", F.to_json("fields"))
 
 

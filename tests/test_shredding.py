@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators.shredding import ALWAYS_LISTS, column_chunks, object_links, object_rows, objects, shred
+from tessella.operators.shredding import ALWAYS_LISTS, _places, _render, column_chunks, object_links, object_rows, objects, shred, values
 
 
 def brute(value, path="", parent="", out=None):
@@ -76,3 +76,66 @@ def test_tables(spark):
         ("stages[].name", (0,), (2,), ('"x"',)), ("stages[].ms", (0,), (2,), ("3",)), ("stages[].steps[].n", (0,), (3,), ("1",))
     }
     assert object_links(df.limit(0)).collect() == []
+
+
+def scalars(value, path="", out=None):
+    """Path and JSON text of every scalar, by a plain walk; null members are left out."""
+    value = opened(value)
+    for k, x in value.items() if isinstance(value, dict) else enumerate(value):
+        x = opened(x)
+        p = f"{path}[{k}]" if isinstance(value, list) else f"{path}.{k}" if path else k
+        if isinstance(value, dict) and k in ALWAYS_LISTS and isinstance(x, dict):
+            x = [x]
+        if isinstance(x, (dict, list)):
+            scalars(x, p, out)
+        elif x is not None or isinstance(value, list):
+            out.append((p, json.dumps(x)))
+    return out
+
+
+def opened(x):
+    while isinstance(x, str):
+        try:
+            y = json.loads(x)
+        except ValueError:
+            return x
+        if isinstance(y, (dict, list)):
+            return y
+        if not isinstance(y, str):
+            return x
+        x = y
+    return x
+
+
+@settings(max_examples=400, deadline=None)
+@given(tree)
+def test_no_scalar_is_left_out(value):
+    chunks = shred(json.dumps(value))
+    places = list(_places(chunks))
+    got = []
+    for (path, at), fields in values(chunks, {x[:2] for x in places}).items():
+        obj = _render(path, at)
+        got += [(obj + ("" if not obj or n.startswith("[") else ".") + n, v) for n, v in fields]
+    assert sorted(got) == (sorted(scalars(value, out=[])) if isinstance(opened(value), (dict, list)) else [])
+
+
+def test_root_rows_arrays_of_scalars_and_mixed_paths(spark):
+    text = '{"v":"2","request":{"client":{"build":7}},"entities":[{"span":[3,9],"x":1},{"x":{"y":2}}],"tags":["a",null,{"t":[[5]]}]}'
+    df = spark.createDataFrame([(1, text), (2, "[4]"), (3, "{"), (4, "{}")], "id bigint, trace string")
+    got = {(r.trace_id, r.obj_path, r.parent_path, r.obj_table): r.fields for r in object_rows(df, roots=True).collect()}
+    assert got == {
+        (1, "", None, ""): {"v": '"2"', "request.client.build": "7", "tags[0]": '"a"', "tags[1]": "null"},
+        (1, "entities[0]", "", "entities[]"): {"span[0]": "3", "span[1]": "9", "x": "1"},
+        (1, "entities[1]", "", "entities[]"): {"x.y": "2"},
+        (1, "tags[2]", "", "tags[]"): {"t[0][0]": "5"},
+        (2, "", None, ""): {"[0]": "4"},
+        (4, "", None, ""): {},
+    }
+    assert {r.path: list(r.val) for r in column_chunks(df).where("trace_id = 1").collect()}["entities[].x"] == ["1", "{}"]
+
+
+def test_query_keeps_the_scalars_of_the_trace_itself(spark, data):
+    from tessella.queries.problems import p4_tables
+
+    tops = [json.loads(r.fields) for r in p4_tables(spark, data).where("obj_path = ''").collect()]
+    assert len(tops) > 100 and sum("trace_version" in t for t in tops) > 50
