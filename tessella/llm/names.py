@@ -13,8 +13,9 @@ initial or an acronym is weak and counts only where it points to one entity.
 Defined cases: null or empty labels and labels without a letter take no part;
 types other than PERSON and ORG take no part; a null scope is a scope of its
 own; equal labels are one entity; a generation suffix is part of the name; a
-token that many readings of a scope share is joined together with the initials
-of the other tokens, so that no group is compared all with all.
+token that many readings of a scope share is joined together with a second key,
+so that no group is compared all with all; every pair that the verifier accepts
+shares one.
 """
 
 from __future__ import annotations
@@ -114,6 +115,16 @@ def deletions(token: str) -> set[str]:
     return {token, _shape(token)} | {token[:i] + token[i + 1 :] for i in range(len(token))}
 
 
+def spellings(token: str) -> set[str]:
+    """Two tokens that ``_same`` accepts have one in common: the deletions of the token and of its shape, two of a long token."""
+    if len(token) <= 3:
+        return {token}
+    out = {token} | {w[:i] + w[i + 1 :] for w in {token, _shape(token)} for i in range(len(w))} | {_shape(token)}
+    if len(token) >= 9:
+        out |= {token[:i] + token[i + 1 : j] + token[j + 1 :] for i, j in itertools.combinations(range(len(token)), 2)}
+    return out
+
+
 def _same(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     return a == b or (n >= 4 and (near(a, b) or near(_shape(a), _shape(b)))) or (n >= 9 and near(a, b, 2))
@@ -415,27 +426,60 @@ def _tokens(kind: str, reading: str) -> list[str]:
     return sorted(set(names)) or [x for x in (parts[2], parts[0]) if x][:1]
 
 
-def _second(kind: str, reading: str) -> list[str]:
-    """What readings of a very common token must share as well: the initials of the given name behind a nickname, or of the kind."""
-    first = reading.split("|")[0]
-    if not first:
-        return [""]
-    return sorted({g[0] for g in _GIVEN.get(first, ())} | {first[0], ""} - ({""} if len(first) > 1 else set()))
+def _second(kind: str, reading: str, token: str) -> tuple[list[str], list[str]]:
+    """What readings of a very common token must share as well: keys of the reading as the left and as the right of a pair.
+
+    Two readings that ``compare`` accepts and that meet in a token share a key: a spelling of the given name, of a full
+    name behind it or its first letters, or the kind.  A reading that says less (no given name or kind, an initial, an
+    acronym) asks, and those that it may stand for answer; such readings are few, and two that only answer do not meet.
+    """
+    parts = reading.split("|")
+    first = parts[0]
+    both, asks, answers = set(), set(), {"e"}
+    if kind == "ORG":
+        if not parts[1] or (not first and token[0] != "#"):
+            asks.add("e")
+        if token[0] == "#":
+            both = {"f" + v for v in spellings(parts[1])} if parts[1] else set()
+        elif first.endswith("."):
+            both = {"k" + k for k in _KIND_LIST if _short_for(first[:-1], k)} | {"a" + first[0]}
+        elif first:
+            both = {"k" + first}
+    else:
+        others = [w for w in (*parts[1].split(), parts[2]) if w]
+        # reordered: a given name is a token in another place
+        answers |= {"g" + v for w in others for v in spellings(w)}
+        if first:
+            both = {"d" + v for g in {first} | _GIVEN.get(first, frozenset()) for v in spellings(g)} | ({"p" + first[:3]} if len(first) > 2 else set())
+            asks |= {"g" + v for v in spellings(first)}
+            answers |= {"i" + g[0] for g in {first} | _GIVEN.get(first, frozenset())}
+        else:
+            asks.add("e")
+        if len(first) == 1:
+            asks.add("i" + first)
+        # reordered with initials: two of the other tokens agree, of which one is not this token
+        initial = any(len(w) == 1 for w in (first, *others))
+        if token in others:
+            others.remove(token)
+        rest = {"o" + v for w in others for v in spellings(w)}
+        answers |= rest
+        if initial:
+            asks |= rest
+    return sorted(both | {"<" + k for k in asks} | {">" + k for k in answers}), sorted(both | {">" + k for k in asks} | {"<" + k for k in answers})
 
 
 def links(readings: DataFrame) -> DataFrame:
     """scope, kind, a, b, strength over the distinct readings (scope, kind, reading)."""
-    spark_type = "scope string, kind string, reading string, token string, second array<string>"
+    spark_type = "scope string, kind string, reading string, token string"
 
     def index(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for s, k, r in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for t in _tokens(k, r):
-                    for col, v in zip(out, (s, k, r, t, _second(k, r))):
+                    for col, v in zip(out, (s, k, r, t)):
                         col.append(v)
-            st = pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (st, st, st, st, pa.list_(st)))], names=["scope", "kind", "reading", "token", "second"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["scope", "kind", "reading", "token"])
 
     by_token = cut(readings.mapInArrow(index, spark_type))
     block = ["scope", "kind"]
@@ -454,12 +498,23 @@ def links(readings: DataFrame) -> DataFrame:
     variants = cut(tokens.mapInArrow(neighbourhood, "scope string, kind string, token string, hot boolean, variant string"))
     other = variants.select(*block, F.col("token").alias("token2"), F.col("hot").alias("hot2"), "variant")
     met = variants.join(other, [*block, "variant"]).where("token <= token2").select(*block, "token", "token2", (F.col("hot") | F.col("hot2")).alias("hot")).distinct()
-    left = by_token.select(*block, "token", F.col("reading").alias("a"), F.col("second").alias("sa"))
-    right = by_token.select(*block, F.col("token").alias("token2"), F.col("reading").alias("b"), F.col("second").alias("sb"))
+    left = by_token.select(*block, "token", F.col("reading").alias("a"))
+    right = by_token.select(*block, F.col("token").alias("token2"), F.col("reading").alias("b"))
     cold = met.where(~F.col("hot")).join(left, [*block, "token"]).join(right, [*block, "token2"]).where("a <> b")
-    hot_left = left.select(*block, "token", "a", F.explode("sa").alias("second"))
-    hot_right = right.select(*block, "token2", "b", F.explode("sb").alias("second"))
-    warm = met.where("hot").join(hot_left, [*block, "token"]).join(hot_right, [*block, "token2", "second"]).where("a <> b")
+
+    def seconds(batches):
+        for b in batches:
+            s, k, r, t = (b.column(i).to_pylist() for i in range(4))
+            keys = [_second(*z) for z in zip(k, r, t)]
+            lists = [pa.array([x[side] for x in keys], pa.list_(pa.string())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *lists], names=["scope", "kind", "reading", "token", "sa", "sb"])
+
+    hot = met.where("hot")
+    common = hot.select(*block, "token").union(hot.select(*block, "token2")).distinct()
+    keyed = by_token.join(common, [*block, "token"], "left_semi").select(*block, "reading", "token").mapInArrow(seconds, spark_type + ", sa array<string>, sb array<string>")
+    hot_left = keyed.select(*block, "token", F.col("reading").alias("a"), F.explode("sa").alias("second"))
+    hot_right = keyed.select(*block, F.col("token").alias("token2"), F.col("reading").alias("b"), F.explode("sb").alias("second"))
+    warm = hot.join(hot_left, [*block, "token"]).join(hot_right, [*block, "token2", "second"]).where("a <> b")
     pairs = cold.select(*block, "a", "b").unionByName(warm.select(*block, "a", "b")).select(*block, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verify(batches):

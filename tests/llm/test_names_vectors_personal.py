@@ -86,6 +86,49 @@ def test_a_common_family_name_is_not_compared_all_with_all(spark, monkeypatch):
     assert {tuple(r) for r in names.same_entity_pairs(df).collect()} == brute_pairs(rows)
 
 
+def test_a_common_token_loses_no_accepted_pair(spark, monkeypatch):
+    people = ["Rafael Silvaneda", "Tafael Silvaneda", "Silvaneda", "R. Silvaneda", "Kafa Silvaneda", "Isabel Kol Silvaneda", "Iasbel Silvaneda", "Belinha Silvaneda", "Dona Silvaneda Filho", "Helena Silvaneda Filho", "Silvaneda Kol Isabel", "Otávio Meligo Silvaneda", "Meligo O. Silvaneda"]
+    firms = ["Padaria Silvaneda", "Silvaneda", "Silvaneda da Serra", "Oficina Silvaneda Central", "O.S.C.", "Pad. Silvaneda", "Padr. Silvaneda", "Escola Zanudi", "Zanudi", "Esc. Zanudi"]
+    for kind, labels in (("PERSON", people), ("ORG", firms)):
+        read = names.read_person if kind == "PERSON" else names.read_org
+        readings = sorted({read(x) for x in labels})
+        want = {(a, b, c) for a, b in itertools.combinations(readings, 2) if (c := names.compare(kind, a, b))}
+        df = spark.createDataFrame([("s", kind, r) for r in readings], "scope string, kind string, reading string")
+        for limit in (1, 400):
+            monkeypatch.setattr(names, "HOT_TOKEN", limit)
+            assert {(r.a, r.b, r.strength) for r in names.links(df).collect()} == want, limit
+
+
+def test_second_keys_of_accepted_pairs():
+    rng = random.Random(5)
+    given, family = ["jose", "rafael", "isabel", "maria", "ze", "bel", "j", "i", "r"], ["silvaneda", "kol", "tavur", "maria", "silvanedo", "tavor"]
+
+    def typo(w):
+        at = rng.randrange(len(w))
+        return w if len(w) < 4 or rng.random() < 0.6 else w[:at] + rng.choice("aeot") + w[at + 1 :]
+
+    def person():
+        tokens = [typo(rng.choice(given)), *(typo(rng.choice(family + given)) for _ in range(rng.randrange(3))), typo(rng.choice(family))]
+        rng.random() < 0.2 and rng.shuffle(tokens)
+        return f"||{tokens[-1]}|" if rng.random() < 0.1 else f"{tokens[0]}|{' '.join(tokens[1:-1])}|{tokens[-1]}|"
+
+    def firm():
+        kind = rng.choice(["padaria", "oficina", "escola", "", "pad.", "p.", "ofi.", "o."])
+        main, extra = typo(rng.choice(family)), rng.choice(["", "central", "sons"])
+        initials = "".join(sorted(w[0] for w in (kind, main, extra) if w))
+        return f"|||{initials}" if rng.random() < 0.2 and len(initials) > 2 else f"{kind}|{main}|{extra}|{initials}"
+
+    accepted = 0
+    for kind, make in (("PERSON", person), ("ORG", firm)):
+        some = sorted({make() for _ in range(900)})
+        for a, b in itertools.combinations(some, 2):
+            if names.compare(kind, a, b):
+                met = [(t, u) for t in names._tokens(kind, a) for u in names._tokens(kind, b) if (t == u if "#" in t + u else names.deletions(t) & names.deletions(u))]
+                accepted += bool(met)
+                assert not met or any(set(names._second(kind, a, t)[x]) & set(names._second(kind, b, u)[1 - x]) for t, u in met for x in (0, 1)), (a, b)
+    assert accepted > 5000
+
+
 def test_no_nodes(spark):
     assert names.same_entity_pairs(spark.createDataFrame([], "id bigint, scope string, node_type string, label string")).collect() == []
 
