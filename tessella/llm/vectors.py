@@ -20,7 +20,8 @@ that holds a large share of a collection is taken out before the shuffle.
 
 Defined cases: a null, wrongly long, all-zero or non-finite vector takes no
 part; nor do chunks without a model; a collection of one gives nothing; of
-equal similarities the smaller row number is nearer; repeated ids are rows of
+equal similarities the smaller id is nearer (rows are numbered in the order of
+their ids); repeated ids are rows of
 their own, but no row pairs with its own id; fewer than k others give fewer.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessella.plans.durable import cut
 from tessella.plans.skew import hot_keys
 
 K = 5
@@ -282,13 +284,17 @@ def _dense(rid: np.ndarray, y: np.ndarray, k: int):
     """A bucket whose codes are mostly near each other: floats against floats."""
     n, parts = len(rid), []
     step = max(1, min(512, 4_000_000 // n))
-    m = min(k + 3, n - 1)
+    m = min(k, n - 1)
     for lo in range(0, n, step):
         hi = min(n, lo + step)
         sims = y[lo:hi] @ y.T
         sims[np.arange(hi - lo), np.arange(lo, hi)] = -2
-        b = np.sort(np.argpartition(-sims, m - 1, axis=1)[:, :m], axis=1).ravel()
-        a = np.repeat(np.arange(lo, hi), m)
+        # all that may equal the last place, in their order
+        least = np.partition(sims, n - m, axis=1)[:, n - m] - 1e-5
+        a, b = np.nonzero(sims >= least[:, None])
+        a += lo
+        keep = a != b
+        a, b = a[keep], b[keep]
         parts.append(_best(a, b, _similar(a, b, y), rid, k))
     return tuple(np.concatenate(z) for z in zip(*parts))
 
@@ -296,12 +302,13 @@ def _dense(rid: np.ndarray, y: np.ndarray, k: int):
 def neighbours(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """From coll_name, part, id, vec: (numbered rows: coll_name, id, rid; top: rid, near array<bigint> of at most k).
 
-    The row number depends only on the files' splits, so it is the same whenever a task is repeated.
+    Rows are numbered in the order of their ids within a part, so that of equal similarities the smaller id wins.  The sort
+    samples its ranges, so its result is kept: every later step sees the same numbers.
     """
     spark = rows.sparkSession
-    base = rows.withColumn("rid", F.monotonically_increasing_id())
-    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    learned = learn(rows, counts, sample) if counts else {}
+    base = cut(rows.orderBy("part", "id").withColumn("rid", F.monotonically_increasing_id()))
+    counts = {r["part"]: r["n"] for r in base.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learned = learn(base, counts, sample) if counts else {}
     names = sorted(learned)
     shared = spark.sparkContext.broadcast([learned[p] for p in names])
     number = {p: i for i, p in enumerate(names)}

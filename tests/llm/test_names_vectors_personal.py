@@ -189,6 +189,23 @@ def test_a_very_common_vector_leaves_the_index(spark, monkeypatch):
     assert {p for p in got if p[1][0] == "x"} == {p for p in plain if p[1][0] == "x"}
 
 
+@pytest.mark.parametrize("floor", [20, 500_000])
+def test_equal_similarities_go_to_the_smaller_id(spark, monkeypatch, floor):
+    e = np.eye(16)
+    ids = [f"{i:02d}" for i in range(40)]
+    random.Random(2).shuffle(ids)
+    monkeypatch.setattr(vectors, "COPIES_FLOOR", floor)
+    got = {tuple(r) for r in vectors.similar_pairs([frame(spark, [(i, e[0].tolist()) for i in ids])]).select("id_a", "id_b").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(ids), 2) if a < "05" or b < "06"}
+
+
+def test_equal_similarities_in_a_dense_bucket():
+    e = np.eye(32, dtype=np.float32)
+    y = np.vstack([(e[0] + e[j]) / np.sqrt(np.float32(2)) for j in range(1, 31)] + [e[0]]).astype(np.float32)
+    q, c, _ = vectors._dense(np.arange(31), y, 5)
+    assert sorted(c[q == 30]) == [0, 1, 2, 3, 4]
+
+
 def test_dense_and_cut_buckets(monkeypatch):
     rng = np.random.default_rng(1)
     x = vectors._fixed(rng.normal(size=(400, 16)) * 0.05 + np.ones(16))
