@@ -1,14 +1,10 @@
 """Rebuilding conversations from message rows.
 
-Every stored row is an export fragment: the exchange it holds, at a place of a
-conversation.  Fragments overlap when the successor of one's last exchange is
-the other's first, so the overlap graph of a conversation has the distinct
-exchanges (by place and message hashes) as nodes and an edge from each node to
-every node of the next place.  A conversation is whole when its graph is a
-single unambiguous path from place 0: one start, every node with at most one
-predecessor and one successor, no break.  Over numbered exchanges that
-is decided by counts alone, so no conversation is ever gathered in a task:
-distinct places = distinct nodes = last place + 1 and the first place is 0.
+Every stored row is one exchange at a numbered place of a conversation.  No
+overlap graph is built: with the places given, a conversation is whole when its
+distinct exchanges (by place and message hashes) stand at 0, 1, 2, ... once each,
+which counts decide, so no conversation is ever gathered in a task: distinct
+places = distinct exchanges = last place + 1 and the first place is 0.
 
 Defined cases: rows with equal place and texts are one exchange, however often
 written; a null place is a break; null or blank session ids belong to no
@@ -60,10 +56,10 @@ def exchanges(turns: DataFrame) -> DataFrame:
 
 
 def assembled(turns: DataFrame) -> DataFrame:
-    """scope, session_id, n_exchanges, kept: every conversation and whether its overlap graph is one whole path from 0."""
+    """scope, session_id, n_exchanges, kept: every conversation and whether its exchanges stand at 0, 1, 2, ... once each."""
     return (
         exchanges(turns)
-        # nodes of one place: more than one makes the path ambiguous there
+        # exchanges of one place: more than one makes the conversation ambiguous there
         .groupBy("scope", "session_id", "turn_n")
         .agg(F.count(F.lit(1)).alias("variants"), F.min("whole").alias("whole"))
         .groupBy("scope", "session_id")
