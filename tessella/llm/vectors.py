@@ -1,58 +1,75 @@
 """Most similar vectors for every vector: multi-index hashing.
 
-Per collection a rotation is learned on a bounded sample (principal axes, then
-the rotation that brings the sample nearest to the corners of a cube); the
-signs of the rotated vector are its code.  Substrings of the code are indexed,
-one table each: codes within a Hamming radius below the number of tables agree
-in one substring at least, and most pairs far beyond it do.  Within a bucket all
-codes are compared, those within ``RADIUS`` are reranked by their floats, and
-the best of a vector's buckets are its neighbours.  Every row is indexed and
-every row is a query.
-
-The length of a substring follows the size of the collection, so a bucket stays
-at about ``BUCKET`` rows; the number of tables is the least that finds
-``TARGET`` of the sample's near pairs.  A row goes through one shuffle, once per
-table, with its vector as 16-bit fixed point (similarities exact to about 1e-5).
-
-Exact copies do not blow up a bucket: of equal vectors only the first few can
-be anyone's neighbours, so a bucket works on its different vectors, and a vector
-that holds a large share of a collection is taken out before the shuffle.
+Per collection a rotation is learned on a bounded sample (the rotation that
+brings the sample nearest to the corners of a cube); the signs of the rotated
+vector are its code.  Codes are split into substrings and the substrings are
+indexed, on two levels:
+
+* Routing, between tasks: the rows that agree in substring t of ``width`` bits
+  meet in bucket t.  The widths follow the size of the collection so that a
+  bucket stays at about ``BUCKET`` rows.  How many tables it takes is measured:
+  for a few rows of every collection the true neighbours are found by one scan
+  over all rows, and the tables are as many as bring ``TARGET`` of these pairs
+  together.  If the first code has too few bits for that, a second one gives
+  more; if both have, substrings get shorter; if nothing reaches the target,
+  an error says so.
+* Probing, within a bucket: all substrings of the code are indexed again, and
+  by the pigeonhole principle every code within a Hamming radius r is found by
+  probing each of m substrings within floor(r / m) - the first r mod m + 1 of
+  them - or one less.  Codes found are compared whole; those within the radius
+  are reranked by their vectors, in double precision.  A row with fewer than k
+  codes within the radius is compared with the whole bucket.
+
+Every row is indexed and every row is a query.  A row goes through one shuffle
+per table, with its vector as it is.
+
+Skew: of equal vectors only the first k + 1 (by id) can be anyone's neighbours.
+A vector that holds a large share of all rows leaves the index before the
+shuffle (``skew.hot_keys``); fewer copies are folded within their bucket.  A
+bucket that the sample shows to be larger than ``BLOCK`` rows is worked on in
+pairs of salted blocks, so that no task holds more than two blocks and no pair
+of the bucket is lost.
 
 Defined cases: a null, wrongly long, all-zero or non-finite vector takes no
-part; nor do chunks without a model; a collection of one gives nothing; of
-equal similarities the smaller id is nearer (rows are numbered in the order of
-their ids); repeated ids are rows of
-their own, but no row pairs with its own id; fewer than k others give fewer.
+part; nor do rows without an id or chunks without a model; a collection of one
+gives nothing; of equal similarities the smaller id is nearer; rows that repeat
+an id are one row with several vectors, and no id pairs with itself; fewer than
+k others give fewer.  Ids travel as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessella.plans.durable import cut
 from tessella.plans.skew import hot_keys
 
 K = 5
-#: Vectors per collection the rotation is learned on, at most.
-SAMPLE = 12_000
-#: Rows of a bucket that the length of a substring aims at.
-BUCKET = 8_192
-#: Share of the sample's near pairs that the tables must find.
-TARGET = 0.96
+#: Vectors the rotations of all collections together are learned on, at most twice this many.
+SAMPLE = 16_384
+#: Rows of each collection whose true neighbours are looked up to choose radius and tables.
+PROBES = 64
+#: Rows of a bucket that the length of a routing substring aims at.
+BUCKET = 32_768
+#: A routing substring has this many bits at least, so that small collections are indexed like large ones.
+LEAST_WIDTH = 2
+#: Share of the true near pairs that routing must bring together, and share that must lie within the Hamming radius.
+TARGET, WITHIN = 0.96, 0.99
 MAX_TABLES = 16
-#: Hamming radius of the codes of 64 bits within which floats are compared (shorter codes in proportion).
-RADIUS = 22
-#: Equal vectors beyond this number are taken out before the shuffle, smaller groups within their bucket.
+#: Rows of a block; a bucket of more is worked on in pairs of blocks.
+BLOCK = 131_072
+#: Equal vectors beyond this number leave the index before the shuffle, smaller groups are folded within their bucket.
 COPIES_FLOOR = 500_000
-#: Different vectors of a bucket beyond which it is cut by further bits of the code.
-MAX_BUCKET = 65_536
+#: Rounds of the learned rotation.
+ROUNDS = 30
 
 
 def usable(vec: str, width: Column) -> Column:
@@ -64,7 +81,8 @@ def usable(vec: str, width: Column) -> Column:
 
 def collection(df: DataFrame, name: str, id_text: Column, vec: str, width: int) -> DataFrame:
     """coll_name, part, id, vec of the usable rows of one table; ``part`` is what may be compared."""
-    return df.where(usable(vec, F.lit(width))).select(F.lit(name).alias("coll_name"), F.lit(name).alias("part"), id_text.alias("id"), F.col(vec).alias("vec"))
+    rows = df.where(usable(vec, F.lit(width)) & id_text.isNotNull())
+    return rows.select(F.lit(name).alias("coll_name"), F.lit(name).alias("part"), id_text.alias("id"), F.col(vec).alias("vec"))
 
 
 def chunk_collection(df: DataFrame) -> DataFrame:
@@ -75,310 +93,479 @@ def chunk_collection(df: DataFrame) -> DataFrame:
     return rows.select(F.lit("kb_chunks").alias("coll_name"), F.concat(F.lit("kb_chunks "), "embed_model").alias("part"), key.alias("id"), F.col("embedding").alias("vec"))
 
 
+# ---- codes
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square over- or underflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 class Codes:
-    """The learned code of one part: rotation, length of a substring, number of tables."""
+    """The learned code of one part: two rotations, and how its substrings are used.
 
-    def __init__(self, sample: np.ndarray, n_rows: int, seed: int = 7):
-        x = sample.astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        dim = x.shape[1]
+    ``near_pairs`` are signs (both codes side by side) of true neighbours; radius, width and tables are chosen on them.
+    """
+
+    def __init__(self, sample: np.ndarray, seed: int = 7):
+        x = unit(sample).astype(np.float32)
+        self.mean = x.mean(0)
+        x = x - self.mean
+        self.dim = x.shape[1]
+        self.bits = min(64, self.dim)
         rng = np.random.default_rng(seed)
         _, axes = np.linalg.eigh(x.T @ x)
-        axes = axes[:, ::-1].astype(np.float32)
+        axes = axes[:, ::-1][:, : self.bits].astype(np.float32)
         turned = x @ axes
-        self.bits = min(64, dim)
-        self.width = max(0, min(20, round(math.log2(max(1.0, n_rows / BUCKET)))))
-        # the tables' bits come from the leading axes, where neighbours agree most; each half is rotated for itself
-        lead = min(self.bits, max(8, min(24, self.width * 4)))
-        rotation = np.zeros((dim, self.bits), np.float32)
-        for lo, hi in ((0, lead), (lead, self.bits)):
-            if hi > lo:
-                rotation[:, lo:hi] = axes[:, lo:hi] @ self._rotation(turned[:, lo:hi], rng)
-        self.rotation = rotation
-        self.tables = 1 if self.width == 0 else self._tables(x)
-        self.radius = max(1, RADIUS * self.bits // 64)
+        self.rotation = np.hstack([axes @ self._rotation(turned, rng) for _ in range(2)])
+        self.width, self.tables, self.radius = LEAST_WIDTH, 1, self.bits // 5
+        self.salts: dict[tuple[int, int], int] = {}
+        self.reach, self.n_rows = 1.0, len(sample)
 
     @staticmethod
-    def _rotation(z: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
+    def _rotation(z: np.ndarray, rng) -> np.ndarray:
         r = np.linalg.qr(rng.normal(size=(z.shape[1],) * 2))[0].astype(np.float32)
-        for _ in range(rounds):
+        for _ in range(ROUNDS):
             u, _, vt = np.linalg.svd(np.sign(z @ r).T @ z)
             r = (vt.T @ u.T).astype(np.float32)
         return r
 
-    def _tables(self, x: np.ndarray) -> int:
-        bits = (x @ self.rotation) > 0
-        left, right = [], []
-        for lo in range(0, len(x), 1024):
-            s = x[lo : lo + 1024] @ x.T
-            a, b = np.nonzero((s > 0.8) & (s < 0.93))
-            keep = a + lo < b
-            left.append(a[keep] + lo)
-            right.append(b[keep])
-        a, b = np.concatenate(left), np.concatenate(right)
-        most = min(MAX_TABLES, self.bits // self.width)
-        if len(a) < 50:
-            miss = 1 - 0.87**self.width
-            return max(1, min(most, math.ceil(math.log(1 - TARGET) / math.log(miss))))
-        if len(a) > 200_000:
-            at = np.linspace(0, len(a) - 1, 200_000).astype(int)
-            a, b = a[at], b[at]
-        met = np.zeros(len(a), bool)
-        for t in range(most):
-            part = slice(t * self.width, (t + 1) * self.width)
-            met |= (bits[a, part] == bits[b, part]).all(1)
-            if met.mean() >= TARGET:
-                return t + 1
-        return most
-
     def signs(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.rotation) > 0
+        return ((x - self.mean) @ self.rotation) > 0
+
+    def choose(self, n_rows: int, left: np.ndarray, right: np.ndarray, seen: np.ndarray, bucket: int, block: int) -> "Codes":
+        """Radius, width and tables from the signs of near pairs; salts of large buckets from the sample's signs ``seen``."""
+        self.n_rows = n_rows
+        ideal = max(LEAST_WIDTH, round(np.log2(max(1.0, n_rows / bucket))))
+        if len(left):
+            far = (left[:, : self.bits] != right[:, : self.bits]).sum(1)
+            self.radius = max(self.bits // 8, int(np.quantile(far, WITHIN, method="higher")))
+            same = left == right
+            for self.width in range(ideal, 0, -1):
+                met = np.zeros(len(left), bool)
+                for t in range(min(MAX_TABLES, 2 * self.bits // self.width)):
+                    met |= same[:, t * self.width : (t + 1) * self.width].all(1)
+                    self.tables, self.reach = t + 1, float(met.mean())
+                    if self.reach >= TARGET:
+                        break
+                if self.reach >= TARGET:
+                    break
+            else:
+                raise ValueError(f"{self.tables} tables of {self.width} bits bring only {self.reach:.2f} of the near pairs together")
+        if len(seen):
+            for t, column in enumerate(self.substrings(seen).T):
+                values, counts = np.unique(column, return_counts=True)
+                for v, c in zip(values, counts):
+                    # counted generously: a bucket of few sample rows is not large
+                    rows = (c + 2 * np.sqrt(c)) * n_rows / len(seen)
+                    if rows > block:
+                        self.salts[t, int(v)] = int(-(-rows // block))
+        return self
 
     def substrings(self, signs: np.ndarray) -> np.ndarray:
         """A bucket number per row and table."""
-        if self.width == 0:
-            return np.zeros((len(signs), 1), np.int64)
         powers = 1 << np.arange(self.width, dtype=np.int64)
         return np.stack([signs[:, t * self.width : (t + 1) * self.width] @ powers for t in range(self.tables)], axis=1)
 
     def packed(self, signs: np.ndarray) -> np.ndarray:
+        """The first code as one integer."""
         full = np.zeros((len(signs), 64), np.uint8)
-        full[:, : self.bits] = signs
-        return np.packbits(full, axis=1).view(np.uint64).ravel()
+        full[:, : self.bits] = signs[:, : self.bits]
+        return np.packbits(full, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fixed(x: np.ndarray) -> np.ndarray:
-    return np.rint(x / np.abs(x).max(1, keepdims=True) * 32767).astype("<i2")
+def _matrix(col: pa.ListArray, at: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    width = ends[at[0] + 1] - ends[at[0]]
+    return flat[ends[at][:, None] + np.arange(width)]
 
 
-def learn(rows: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> dict[str, Codes]:
-    """The codes of every part, from at most ``sample`` of its rows, chosen by a hash of the id."""
-    share = F.create_map(*[F.lit(v) for p, n in counts.items() for v in (p, max(1, n // sample))])
-    picked = rows.where(F.pmod(F.xxhash64("id"), share[F.col("part")]) == 0).select("part", "vec").toArrow()
-    parts = np.asarray(picked.column("part").to_pylist())
+def _by_part(batch: pa.RecordBatch, number: dict[str, int]):
+    """(part number, rows, their vectors as they are) of every part in a batch with ``part`` first and ``vec`` last."""
+    part = np.array([number[p] for p in batch.column(0).to_pylist()], np.int64)
+    col = batch.column(batch.num_columns - 1)
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(np.array(col.value_lengths()))]
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        yield int(p), at, _matrix(col, at, flat, ends)
+
+
+def learn(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[list[str], list[Codes]]:
+    """Parts and their codes.
+
+    The rotations come from at most ``2 * sample`` rows of all parts together, chosen by a hash of the id; radius and
+    tables from the true neighbours of ``PROBES`` rows a part, found by one scan over all rows.
+    """
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(counts)
+    if not names:
+        return [], []
+    number = {p: i for i, p in enumerate(names)}
+    each = max(256, sample // len(names))
+    share = F.create_map(*[F.lit(v) for p in names for v in (p, max(1, counts[p] // each))])
+    picked = rows.where(F.pmod(F.xxhash64("id"), share[F.col("part")]) == 0).select("part", F.xxhash64("id").alias("h"), "vec").toArrow()
+    parts, order = np.asarray(picked.column("part").to_pylist()), np.argsort(picked.column("h").to_numpy(), kind="stable")
     vecs = picked.column("vec").to_pylist() if picked.num_rows else []
-    out = {}
-    for p in sorted(counts):
-        own = [vecs[i] for i in np.flatnonzero(parts == p)[: sample]] if len(parts) else []
+    samples: list[np.ndarray] = []
+    for p in names:
+        own = [vecs[i] for i in order if parts[i] == p] if len(vecs) else []
         # a part whose every id missed the hash is small enough to need no rotation
         width = len(own[0]) if own else rows.where(F.col("part") == p).select(F.size("vec")).first()[0]
-        out[p] = Codes(np.array(own, np.float64) if own else np.eye(width), counts[p])
+        samples.append(np.array(own, np.float64) if own else np.eye(width))
+    learned = [Codes(x) for x in samples]
+    shared = rows.sparkSession.sparkContext.broadcast((learned, [unit(x[:PROBES]) for x in samples]))
+
+    def scan(batches):
+        codes, probes = shared.value
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for p, at, x in _by_part(b, number):
+                y = unit(x)
+                s = probes[p] @ y.T
+                s[s > 1 - 1e-12] = -2  # itself and its copies
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                sims = np.take_along_axis(s, top, 1)
+                bits = np.packbits(codes[p].signs(y[top.ravel()].astype(np.float32)), axis=1).reshape(*top.shape, -1)
+                if p in best:
+                    sims, bits = np.hstack([best[p][0], sims]), np.concatenate([best[p][1], bits], axis=1)
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    sims, bits = np.take_along_axis(sims, top, 1), np.take_along_axis(bits, top[:, :, None], 1)
+                best[p] = (sims, bits)
+        for p, (sims, bits) in best.items():
+            q, j = np.nonzero(sims > -2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(q), p), pa.int64()), pa.array(q, pa.int64()), pa.array(sims[q, j]), pa.array([bits[a, c].tobytes() for a, c in zip(q, j)], pa.binary())], names=["p", "q", "s", "bits"]
+            )
+
+    near = rows.select("part", "vec").mapInArrow(scan, "p bigint, q bigint, s double, bits binary")
+    rank = F.row_number().over(Window.partitionBy("p", "q").orderBy(F.desc("s"), "bits"))
+    true = near.withColumn("n", rank).where(F.col("n") <= k).select("p", "q", "bits").toArrow()
+    ps, qs, raw = true.column("p").to_numpy(), true.column("q").to_numpy(), true.column("bits").to_pylist()
+    for p, (c, x) in enumerate(zip(learned, samples)):
+        at = np.flatnonzero(ps == p)
+        seen = c.signs(unit(x).astype(np.float32))
+        two = 2 * c.bits
+        right = np.unpackbits(np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)[:, :two].astype(bool) if len(at) else np.zeros((0, two), bool)
+        c.choose(counts[names[p]], seen[qs[at]], right, seen, BUCKET, BLOCK)
+    return names, learned
+
+
+# ---- within a bucket
+
+
+def _substrings(bits: int, n: int, radius: int) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius to probe) of the substrings of a code, for ``n`` codes: a pair within ``radius`` meets in one."""
+    m = max(1, bits // int(np.clip(round(np.log2(max(2, n))), 8, 16)))
+    rho, rest = divmod(radius, m)
+    out, at = [], 0
+    for t in range(m):
+        w = bits // m + (t < bits % m)
+        probe = rho if t <= rest else rho - 1
+        if probe >= 0:
+            out.append((at, w, min(probe, w)))
+        at += w
     return out
 
 
-def _nearest(rid: np.ndarray, x: np.ndarray, codes: Codes, k: int, bit: int):
-    """(query rows, neighbour rows, similarities) of one bucket: the k best of each row among the others."""
-    order = np.argsort(rid, kind="stable")
-    rid, x = rid[order], x[order]
-    # equal vectors: any row's neighbours among them are the first k + 1
-    _, first, of = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    if len(first) < len(x):
-        order = np.lexsort((rid, of))
-        start = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])
-        place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-        lead = np.sort(order[place <= k])
-        extra = order[place > k]
-    else:
-        lead, extra = np.arange(len(x)), np.zeros(0, int)
-    y = x[lead].astype(np.float32)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    signs = codes.signs(y)
-    if len(lead) > MAX_BUCKET and bit < codes.bits:
-        halves = []
-        for side in (False, True):
-            own = lead[signs[:, bit] == side]
-            if len(own):
-                halves.append(_nearest(rid[own], x[own], codes, k, bit + 1))
-        q, c, s = (np.concatenate(z) for z in zip(*halves))
-    else:
-        q, c, s = _scan(rid[lead], y, codes.packed(signs), codes.radius, k)
-    if len(extra):
-        # the other copies: their nearest are the first k of their own kind
-        firsts = {}
-        for i in lead:
-            firsts.setdefault(of[i], []).append(rid[i])
-        more = [(rid[i], r, 1.0) for i in extra for r in sorted(firsts[of[i]])[:k]]
-        q = np.r_[q, np.array([m[0] for m in more], np.int64)]
-        c = np.r_[c, np.array([m[1] for m in more], np.int64)]
-        s = np.r_[s, np.array([m[2] for m in more], np.float32)]
-    return q, c, s
+def _patterns(width: int, most: int) -> np.ndarray:
+    """The differences of at most ``most`` bits, but none at all."""
+    return np.array([sum(1 << i for i in c) for d in range(1, most + 1) for c in itertools.combinations(range(width), d)], np.int64)
 
 
-#: Rows of a bucket up to which each pair is compared once for both of its rows.
-_ONCE = 16_384
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] of them, one after another."""
+    total = int(counts.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
-def _similar(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), np.float32)
-    for lo in range(0, len(a), 65_536):
-        part = slice(lo, lo + 65_536)
-        out[part] = np.einsum("ij,ij->i", y[a[part]], y[b[part]])
-    return out
+#: Probes looked up at once, and candidates compared at once.
+_STEP = 1 << 18
 
 
-#: Pairs below this similarity are looked at only for rows that have fewer than k above it.
-_CLEAR = 0.7
+def code_pairs(codes: np.ndarray, bits: int, radius: int, most: float = np.inf):
+    """(i, j) of all pairs of codes within the Hamming radius, each once, in pieces.
 
+    None ends the pieces where scanning all is cheaper: more probes than codes, or more than ``most`` candidates.
+    """
+    n, met = len(codes), 0
+    parts = _substrings(bits, n, radius)
+    if sum(math.comb(w, d) for _, w, probe in parts for d in range(probe + 1)) > max(n, 2_048) and n > 2:
+        # more probes than codes
+        yield None
+        return
+    done: list[tuple[np.uint64, int]] = []
+    for shift, width, probe in parts:
+        sub = ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        order = np.argsort(sub, kind="stable")
+        sub, own = sub[order], codes[order]
+        off = np.r_[0, np.cumsum(np.bincount(sub, minlength=1 << width))]
+
+        def compare(q: np.ndarray, c: np.ndarray):
+            x = own[q] ^ own[c]
+            keep = np.bitwise_count(x) <= radius
+            x = x[keep]
+            # a pair that an earlier substring has found is no news
+            fresh = np.ones(len(x), bool)
+            for mask, r in done:
+                fresh &= np.bitwise_count(x & mask) > r
+            return order[q[keep][fresh]], order[c[keep][fresh]]
+
+        # equal substrings: each with those after it
+        after = off[sub + 1] - np.arange(n) - 1
+        bounds = np.searchsorted(np.cumsum(after), np.arange(0, after.sum() + _STEP, _STEP), side="left")
+        for lo, hi in zip(bounds[:-1], [*bounds[1:-1], n]):
+            at = np.arange(lo, hi)
+            met += int(after[at].sum())
+            if met > most:
+                yield None
+                return
+            yield compare(np.repeat(at, after[at]), _ranges(at + 1, after[at]))
+        flips = _patterns(width, probe)
+        step = max(1, _STEP // n)
+        for lo in range(0, len(flips), step):
+            f = flips[lo : lo + step, None]
+            goal = sub[None, :] ^ f
+            # of the two codes of a pair the one without the highest bit that differs asks
+            count = np.where(goal > sub[None, :], off[goal + 1] - off[goal], 0).ravel()
+            hit = np.flatnonzero(count)
+            starts, count = off[goal.ravel()[hit]], count[hit]
+            cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum() + _STEP, _STEP), side="left")
+            for a, b in zip(cuts[:-1], [*cuts[1:-1], len(hit)]):
+                met += int(count[a:b].sum())
+                if met > most:
+                    yield None
+                    return
+                yield compare(np.repeat(hit[a:b] % n, count[a:b]), _ranges(starts[a:b], count[a:b]))
+        done.append((np.uint64(((1 << width) - 1) << shift), probe))
 
-def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, rid: np.ndarray, k: int):
-    """Of the pairs (a, b) the k most similar b of each a.  Pairs of one a come in order of b, so equal ones keep that order."""
-    clear = sim >= _CLEAR
-    enough = np.bincount(a[clear], minlength=len(rid)) >= k
-    keep = clear | ~enough[a]
-    a, b, sim = a[keep], b[keep], sim[keep]
-    # one integer: row, then similarity falling (the bits of a float that is not negative are in its order)
-    key = (a.astype(np.int64) << 32) | (0xFFFFFFFF - np.maximum(sim, 0).astype(np.float32).view(np.uint32).astype(np.int64))
-    order = np.argsort(key, kind="stable")
-    a, b, sim = a[order], b[order], sim[order]
-    start = np.flatnonzero(np.r_[True, np.diff(a) > 0]) if len(a) else np.zeros(0, int)
-    best = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) < k
-    return rid[a[best]], rid[b[best]], sim[best].astype(np.float32)
 
+def _similar(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a))
+    for lo in range(0, len(a), 32_768):
+        part = slice(lo, lo + 32_768)
+        out[part] = np.einsum("ij,ij->i", y[a[part]], y[b[part]])
+    return out
 
-def _scan(rid: np.ndarray, y: np.ndarray, packed: np.ndarray, radius: int, k: int):
-    n = len(rid)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    parts, held = [], []
-    once = n <= _ONCE
-    found = np.zeros(n, np.int64)
-    step = max(1, 131_072 // n)
-    pairs = 0
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        # each pair once where the bucket's pairs can be held together; else all of a row's pairs at once
-        left = lo if once else 0
-        hit = np.flatnonzero(np.bitwise_count(packed[lo:hi, None] ^ packed[None, left:]) <= radius)
-        a, b = (z.astype(np.int32) for z in np.divmod(hit, n - left))
-        a += lo
-        b += left
-        keep = a < b if once else a != b
-        a, b = a[keep], b[keep]
-        pairs += len(a)
-        if pairs > max(1_000_000, n * n // 30):
-            return _dense(rid, y, k)
-        found += np.bincount(a, minlength=n)
-        if once:
-            found += np.bincount(b, minlength=n)
-            held.append((a, b, _similar(a, b, y)))
-        elif len(a):
-            parts.append(_best(a, b, _similar(a, b, y), rid, k))
-    if once:
-        a, b, sim = (np.concatenate(z) for z in zip(*held))
-        held.clear()
-        # partners before a row, then those after it: both in their order
-        parts = [_best(np.r_[b, a], np.r_[a, b], np.r_[sim, sim], rid, k)]
-    short = np.flatnonzero(found < k)
-    m = min(4 * k, n - 1)
-    for lo in range(0, len(short), 64):
-        rows = short[lo : lo + 64]
-        far = np.bitwise_count(packed[rows, None] ^ packed[None, :])
-        b = np.sort(np.argpartition(far, m, axis=1)[:, : m + 1], axis=1).ravel()
-        a = np.repeat(rows, m + 1)
-        a, b = a[a != b], b[a != b]
-        parts.append(_best(a, b, _similar(a, b, y), rid, k))
-    return tuple(np.concatenate(z) for z in zip(*parts))
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int):
+    """Of the pairs (a, b) the k most similar b of each a; of equal ones the smaller b (rows stand in the order of their ids)."""
+    if not len(a):
+        return a, b, s
+    # one integer: row, then similarity falling; sums of one product in another order are equal
+    key = (a << 44) | np.rint((1 - s) * (1 << 42)).astype(np.int64).clip(0)
+    order = np.argsort(key)
+    if (np.diff(key[order]) == 0).any():
+        order = np.lexsort((b, key))
+    a, b, s = a[order], b[order], s[order]
+    start = np.flatnonzero(np.r_[True, np.diff(a) > 0])
+    best = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) < k
+    return a[best], b[best], s[best]
 
 
-def _dense(rid: np.ndarray, y: np.ndarray, k: int):
-    """A bucket whose codes are mostly near each other: floats against floats."""
-    n, parts = len(rid), []
-    step = max(1, min(512, 4_000_000 // n))
+def _against_all(rows: np.ndarray, y: np.ndarray, k: int):
+    """The k best of ``rows`` among the whole bucket."""
+    n, parts = len(y), []
+    z = y.astype(np.float32)
     m = min(k, n - 1)
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        sims = y[lo:hi] @ y.T
-        sims[np.arange(hi - lo), np.arange(lo, hi)] = -2
-        # all that may equal the last place, in their order
+    step = max(1, 4_000_000 // n)
+    for lo in range(0, len(rows), step):
+        own = rows[lo : lo + step]
+        sims = z[own] @ z.T
+        sims[np.arange(len(own)), own] = -2
+        # all that may reach the last place in double precision
         least = np.partition(sims, n - m, axis=1)[:, n - m] - 1e-5
         a, b = np.nonzero(sims >= least[:, None])
-        a += lo
+        a = own[a]
         keep = a != b
         a, b = a[keep], b[keep]
-        parts.append(_best(a, b, _similar(a, b, y), rid, k))
+        parts.append(_best(a, b, _similar(a, b, y), k))
     return tuple(np.concatenate(z) for z in zip(*parts))
 
 
-def neighbours(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """From coll_name, part, id, vec: (numbered rows: coll_name, id, rid; top: rid, near array<bigint> of at most k).
+def nearest(y: np.ndarray, codes: Codes, k: int):
+    """(row, neighbour, similarity) of the k best of each row of ``y``, unit vectors in the order of their ids."""
+    n = len(y)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if n < 2:
+        return none
+    found, held, parts = np.zeros(n, np.int64), [], []
+
+    def flush():
+        if held:
+            a, b, s = (np.concatenate(z) for z in zip(*held))
+            held.clear()
+            parts.append(_best(np.r_[a, b], np.r_[b, a], np.r_[s, s], k))
+
+    size = 0
+    for pair in code_pairs(codes.packed(codes.signs(y.astype(np.float32))), codes.bits, codes.radius, most=n * max(n / 6, 4_096)):
+        if pair is None:
+            # vectors against vectors
+            return _against_all(np.arange(n), y, k)
+        a, b = pair
+        if len(a):
+            found += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            held.append((a, b, _similar(a, b, y)))
+            size += len(a)
+            if size > 4_000_000:
+                flush()
+                size = 0
+    flush()
+    short = np.flatnonzero(found < k)
+    if len(short):
+        parts.append(_against_all(short, y, k))
+    return _best(*(np.concatenate(z) for z in zip(*parts)), k)
+
+
+def bucket_neighbours(ids: pa.Array, vh: np.ndarray, x: np.ndarray, codes: Codes, k: int):
+    """(row, neighbour, similarity) within one bucket; rows are numbers in ``ids``."""
+    order = pc.sort_indices(ids).to_numpy()
+    y, vh = unit(x[order]), vh[order]
+    same = np.lexsort((np.arange(len(vh)), vh))
+    start = np.flatnonzero(np.r_[True, np.diff(vh[same]) != 0])
+    size = np.diff(np.r_[start, len(vh)])
+    place = np.arange(len(vh)) - np.repeat(start, size)
+    lead = np.sort(same[place <= k])
+    a, b, s = nearest(y[lead], codes, k)
+    a, b = lead[a], lead[b]
+    extra = np.flatnonzero(place > k)
+    if len(extra):
+        # further copies: the first k of their kind are their nearest
+        firsts = _ranges(np.repeat(start, size)[extra], np.full(len(extra), k))
+        a, b, s = np.r_[a, np.repeat(same[extra], k)], np.r_[b, same[firsts]], np.r_[s, np.ones(len(extra) * k)]
+    return order[a], order[b], s
 
-    Rows are numbered in the order of their ids within a part, so that of equal similarities the smaller id wins.  The sort
-    samples its ranges, so its result is kept: every later step sees the same numbers.
-    """
-    spark = rows.sparkSession
-    base = cut(rows.orderBy("part", "id").withColumn("rid", F.monotonically_increasing_id()))
-    counts = {r["part"]: r["n"] for r in base.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    learned = learn(base, counts, sample) if counts else {}
-    names = sorted(learned)
-    shared = spark.sparkContext.broadcast([learned[p] for p in names])
-    number = {p: i for i, p in enumerate(names)}
 
-    work = base.select("part", "rid", "vec")
+# ---- dataflow
+
+
+def _rid() -> Column:
+    return F.xxhash64("part", "id")
+
+
+def neighbours(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFrame:
+    """From coll_name, part, id, vec: rid, near array<bigint> of at most k; rid is the hash of part and id."""
+    sc = rows.sparkSession.sparkContext
+    names, learned = learn(rows, k, sample)
+    if not names:
+        return rows.select(_rid().alias("rid"), F.array(F.lit(0).cast("bigint")).alias("near"))
+    shared = sc.broadcast(learned)
+    number = {p: i for i, p in enumerate(names)}
+    work = rows.select("part", _rid().alias("rid"), "id", "vec")
     copies = None
-    if sum(counts.values()) > COPIES_FLOOR:
-        tagged = work.withColumn("__v", F.xxhash64("vec"))
-        hot = hot_keys(tagged, ["part", "__v"], floor=COPIES_FLOOR)
-        if hot is not None:
-            # all but the first k + 1 of a very common vector leave the index; their nearest are the first k
-            mine = tagged.join(F.broadcast(hot), ["part", "__v"], "left_semi")
-            firsts = mine.withColumn("__n", F.row_number().over(Window.partitionBy("part", "__v").orderBy("rid"))).where(F.col("__n") <= k + 1)
-            few = firsts.groupBy("part", "__v").agg(F.array_sort(F.collect_list("rid")).alias("firsts"))
-            copies = mine.join(F.broadcast(few), ["part", "__v"]).where(~F.array_contains("firsts", F.col("rid"))).select("rid", F.slice("firsts", 1, k).alias("near"))
-            work = tagged.join(F.broadcast(hot), ["part", "__v"], "left_anti").select("part", "rid", "vec").unionByName(firsts.select("part", "rid", "vec"))
-
-    def index(batches):
+    tagged = work.withColumn("__v", F.xxhash64("vec"))
+    hot = hot_keys(tagged, ["part", "__v"], floor=COPIES_FLOOR) if sum(c.n_rows for c in learned) > COPIES_FLOOR else None
+    if hot is not None:
+        # all but the first k + 1 of a very common vector leave the index; their nearest are the first k
+        mine = tagged.join(F.broadcast(hot), ["part", "__v"], "left_semi")
+        firsts = mine.withColumn("__n", F.row_number().over(Window.partitionBy("part", "__v").orderBy("id", "rid"))).where(F.col("__n") <= k + 1)
+        few = firsts.groupBy("part", "__v").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "rid"))), lambda e: e["rid"]).alias("firsts"))
+        copies = mine.join(F.broadcast(few), ["part", "__v"]).where(~F.array_contains("firsts", F.col("rid"))).select("rid", F.slice("firsts", 1, k).alias("near"))
+        rest = tagged.join(F.broadcast(hot), ["part", "__v"], "left_anti")
+        work = rest.select(work.columns).unionByName(firsts.select(work.columns))
+
+    def route(batches):
         models = shared.value
         for b in batches:
-            part = np.array([number[p] for p in b.column(0).to_pylist()], np.int64)
-            rid = b.column(1).to_numpy(zero_copy_only=False)
-            col = b.column(2)
-            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(np.array(col.value_lengths()))]
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                width = ends[at[0] + 1] - ends[at[0]]
-                x = flat[ends[at][:, None] + np.arange(width)].astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+            if not b.num_rows:
+                continue
+            rid, ids = b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+            for p, at, x in _by_part(b, number):
                 m = models[p]
-                buckets = m.substrings(m.signs(x.astype(np.float32)))
-                fixed = _fixed(x)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * width), len(at), [None, pa.py_buffer(np.ascontiguousarray(fixed))]).cast(pa.binary())
-                for t in range(buckets.shape[1]):
-                    key = ((p * 64 + t) << 32) | buckets[:, t]
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rid[at], pa.int64()), raw], names=["k", "rid", "v"])
-
-    def bucket(table: pa.Table) -> pa.Table:
-        key = table.column("k")[0].as_py()
-        p, t = divmod(key >> 32, 64)
-        codes = shared.value[p]
+                y = unit(x)
+                buckets = m.substrings(m.signs(y.astype(np.float32)))
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * m.dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(x, "<f4"))]).cast(pa.binary())
+                own_ids = ids.take(pa.array(at))
+                own = rid[at]
+                for t in range(m.tables):
+                    # part, table and pair of blocks share the upper half of the key
+                    if not any(table == t for table, _ in m.salts):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array((t << 40) | buckets[:, t]), pa.array(np.zeros(len(at), np.int64)), pa.array(own), own_ids, raw], names=_ROUTED)
+                        continue
+                    salts = np.array([m.salts.get((t, int(v)), 1) for v in buckets[:, t]])
+                    block = (own.view(np.uint64) >> np.uint64(7)) % salts.astype(np.uint64)
+                    i = np.repeat(np.arange(len(at)), salts)
+                    other = _ranges(np.zeros(len(at), np.int64), salts)
+                    mine = block[i].astype(np.int64)
+                    pair = (np.minimum(mine, other) << 20) | np.maximum(mine, other)
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), p, np.int32)), pa.array((t << 40) | buckets[i, t]), pa.array(pair), pa.array(own[i]), own_ids.take(take), raw.take(take)], names=_ROUTED)
+
+    def search(table: pa.Table) -> pa.Table:
+        codes = shared.value[table.column("p")[0].as_py()]
         rid = table.column("rid").to_numpy()
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), "<i2").reshape(len(rid), -1)
-        q, c, s = _nearest(rid, x, codes, k, codes.width * codes.tables)
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f4").reshape(len(rid), -1)
+        ids = table.column("id").combine_chunks()
+        y = unit(x)
+        vh = np.ascontiguousarray(np.round(y, 12) + 0.0).view(np.dtype((np.void, 8 * y.shape[1]))).ravel()
+        _, vh = np.unique(vh, return_inverse=True)
+        q, c, s = bucket_neighbours(ids, vh, x, codes, k)
+        keep = rid[q] != rid[c]
+        q, c, s = q[keep], c[keep], s[keep]
         order = np.argsort(q, kind="stable")
         q, c, s = q[order], c[order], s[order]
         start = np.flatnonzero(np.r_[True, np.diff(q) > 0]) if len(q) else np.zeros(0, int)
         offsets = pa.array(np.r_[start, len(q)].astype(np.int32))
-        return pa.table(
-            {"rid": pa.array(q[start], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(c, pa.int64())), "sim": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float32()))}
-        )
+        return pa.table({"rid": pa.array(rid[q[start]], pa.int64()), "far": pa.ListArray.from_arrays(offsets, pa.array(-np.round(s, 12))), "near": pa.ListArray.from_arrays(offsets, pa.array(rid[c], pa.int64()))})
+
+    routed = work.mapInArrow(route, "p int, k bigint, pair bigint, rid bigint, id string, v binary")
+    found = routed.groupBy("p", "k", "pair").applyInArrow(search, "rid bigint, far array<double>, near array<bigint>")
+    # a short list per table meets here
+    merged = found.select("rid", F.arrays_zip("far", "near").alias("z")).groupBy("rid").agg(F.flatten(F.collect_list("z")).alias("z"))
+    top = merged.select("rid", F.transform(F.slice(F.array_sort(F.array_distinct("z")), 1, k), lambda e: e["near"]).alias("near"))
+    return top if copies is None else top.unionByName(copies)
 
-    indexed = work.mapInArrow(index, "k bigint, rid bigint, v binary")
-    found = indexed.groupBy("k").applyInArrow(bucket, "rid bigint, near array<bigint>, sim array<float>")
-    # at most one short list per table meets here
-    pairs = F.arrays_zip(F.transform("sim", lambda s: -s).alias("d"), F.col("near").alias("c"))
-    merged = found.select("rid", pairs.alias("z")).groupBy("rid").agg(F.flatten(F.collect_list("z")).alias("z"))
-    top = merged.select("rid", F.transform(F.slice(F.array_sort(F.array_distinct("z")), 1, k), lambda e: e["c"]).alias("near"))
-    if copies is not None:
-        top = top.unionByName(copies)
-    return base.select("coll_name", "id", "rid"), top
+
+_ROUTED = ["p", "k", "pair", "rid", "id", "v"]
 
 
 def similar_pairs(collections: list[DataFrame], k: int = K) -> DataFrame:
     """coll_name, id_a, id_b: pairs of which one is among the other's k nearest, the smaller id first."""
     rows = reduce(DataFrame.unionByName, collections)
-    ids, top = neighbours(rows, k)
-    pairs = top.select("rid", F.explode("near").alias("other"))
-    pairs = pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
-    a = ids.select(F.col("rid").alias("a"), "coll_name", F.col("id").alias("x"))
-    b = ids.select(F.col("rid").alias("b"), F.col("id").alias("y"))
-    named = pairs.join(a, "a").join(b, "b").where("x <> y")
+    pairs = neighbours(rows, k).select("rid", F.explode("near").alias("other"))
+    pairs = pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).where("a <> b").distinct()
+    ids = rows.select(_rid().alias("rid"), "coll_name", "id").groupBy("rid").agg(F.first("coll_name").alias("coll_name"), F.first("id").alias("id"))
+    named = pairs.join(ids.select(F.col("rid").alias("a"), "coll_name", F.col("id").alias("x")), "a").join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b")
     return named.select("coll_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def recall(rows: DataFrame, share: int = 100, k: int = K) -> DataFrame:
+    """coll_name, n_true, n_found: the neighbours of one row in ``share`` (by a hash of the id) by brute force, and how many the index finds.
+
+    The queries are a broadcast in blocks of a checked size; all rows are scanned for each block.
+    """
+    spark = rows.sparkSession
+    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("part", "id", "vec")
+    n = max(1, -(-asked.count() // 20_000))
+    out = []
+    for block in range(n):
+        held: dict[str, tuple[list, np.ndarray]] = {}
+        for r in asked.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)) == block).collect():
+            held.setdefault(r["part"], ([], []))
+            held[r["part"]][0].append(r["id"])
+            held[r["part"]][1].append(r["vec"])
+        shared = spark.sparkContext.broadcast({p: (i, unit(np.array(v))) for p, (i, v) in held.items()})
+
+        def scan(batches, shared=shared):
+            for b in batches:
+                parts, ids = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
+                vecs = b.column(2).to_pylist()
+                for p in set(parts) & set(shared.value):
+                    qids, q = shared.value[p]
+                    at = np.flatnonzero(parts == p)
+                    s = np.round(q @ unit(np.array([vecs[i] for i in at])).T, 12)
+                    s[np.array(qids)[:, None] == np.array([ids[i] for i in at])[None]] = -2
+                    m = min(k, len(at))
+                    least = np.partition(s, len(at) - m, axis=1)[:, len(at) - m]
+                    x, y = np.nonzero((s >= least[:, None]) & (s > -2))
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(x), pa.string()), pa.array([qids[i] for i in x], pa.string()), pa.array([ids[at[j]] for j in y], pa.string()), pa.array(s[x, y])], names=["part", "id", "other", "s"])
+
+        out.append(rows.select("part", "id", "vec").mapInArrow(scan, "part string, id string, other string, s double"))
+    rank = F.row_number().over(Window.partitionBy("part", "id").orderBy(F.desc("s"), "other"))
+    true = reduce(DataFrame.unionByName, out).withColumn("n", rank).where(F.col("n") <= k)
+    true = true.select("part", F.xxhash64("part", "id").alias("rid"), F.xxhash64("part", "other").alias("other"))
+    near = neighbours(rows, k).select("rid", F.explode("near").alias("other"), F.lit(1).alias("hit"))
+    return true.join(near, ["rid", "other"], "left").groupBy("part").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))

@@ -199,27 +199,66 @@ def test_equal_similarities_go_to_the_smaller_id(spark, monkeypatch, floor):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(ids), 2) if a < "05" or b < "06"}
 
 
-def test_equal_similarities_in_a_dense_bucket():
-    e = np.eye(32, dtype=np.float32)
-    y = np.vstack([(e[0] + e[j]) / np.sqrt(np.float32(2)) for j in range(1, 31)] + [e[0]]).astype(np.float32)
-    q, c, _ = vectors._dense(np.arange(31), y, 5)
-    assert sorted(c[q == 30]) == [0, 1, 2, 3, 4]
+def test_code_pairs_are_those_within_the_radius():
+    rng = np.random.default_rng(4)
+    for n, bits, radius in ((2, 64, 5), (300, 64, 9), (700, 48, 10), (500, 16, 3), (400, 64, 0)):
+        codes = np.packbits(np.pad((np.arange(n)[:, None] // 9 * 7919 >> np.arange(bits) % 13 & 1) ^ (rng.random((n, bits)) < 0.08), ((0, 0), (0, 64 - bits))).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+        got = [(min(a, b), max(a, b)) for x, y in vectors.code_pairs(codes, bits, radius) for a, b in zip(x.tolist(), y.tolist())]
+        far = np.bitwise_count(codes[:, None] ^ codes[None])
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= radius)) if a < b}
+        assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_dense_and_cut_buckets(monkeypatch):
+def test_a_bucket_is_searched_exactly_where_codes_fail():
     rng = np.random.default_rng(1)
-    x = vectors._fixed(rng.normal(size=(400, 16)) * 0.05 + np.ones(16))
-    codes = vectors.Codes(x.astype(float), 400)
-    rid = np.arange(400)
-    q, c, _ = vectors._nearest(rid, x, codes, 5, 0)
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = y @ y.T
-    np.fill_diagonal(s, -2)
-    top = {(i, j) for i in range(400) for j in np.argsort(-s[i])[:5]}
-    assert len(set(zip(q, c)) & top) / len(top) > 0.97
-    monkeypatch.setattr(vectors, "MAX_BUCKET", 100)
-    q, _, _ = vectors._nearest(rid, x, codes, 5, 0)
-    assert set(q) == set(range(400))
+    for x in (rng.normal(size=(400, 16)) * 0.05 + np.ones(16), rng.normal(size=(400, 16))):
+        y = vectors.unit(x)
+        s = y @ y.T
+        np.fill_diagonal(s, -2)
+        top = {(i, j) for i in range(400) for j in np.argsort(-s[i])[:5]}
+        codes = vectors.Codes(x)
+        signs = codes.signs(y.astype(np.float32))
+        left, right = (signs[list(z)] for z in zip(*top))
+        codes.radius = int(np.quantile((left[:, :16] != right[:, :16]).sum(1), 0.99))
+        q, c, _ = vectors.nearest(y, codes, 5)
+        assert set(q) == set(range(400)) and len(set(zip(q, c)) & top) / len(top) > 0.85
+    one = np.vstack([(np.eye(32)[0] + np.eye(32)[j]) / np.sqrt(2) for j in range(1, 31)] + [np.eye(32)[0]])
+    q, c, _ = vectors.nearest(vectors.unit(one), vectors.Codes(one), 5)
+    assert sorted(c[q == 30]) == [0, 1, 2, 3, 4]
+
+
+def test_blocks_of_a_large_bucket_lose_no_pair(spark, monkeypatch):
+    x = clustered(900).astype(np.float32)
+    rows = [(f"{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    plain = {tuple(r) for r in vectors.similar_pairs([frame(spark, rows)]).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    names, learned = vectors.learn(frame(spark, rows))
+    assert max(learned[0].salts.values()) > 2
+    assert plain <= {tuple(r) for r in vectors.similar_pairs([frame(spark, rows)]).collect()} | plain
+    got = {tuple(r) for r in vectors.similar_pairs([frame(spark, rows)]).collect()}
+    assert len(plain & got) / len(plain) > 0.97
+
+
+def test_tables_follow_the_true_neighbours():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 64))
+    near = x + rng.normal(size=x.shape) * 0.25
+    codes = vectors.Codes(x)
+    left, right = (codes.signs(vectors.unit(z).astype(np.float32)) for z in (x, near))
+    for n in (10_000, 1_000_000, 10_000_000, 100_000_000):
+        c = vectors.Codes(x).choose(n, left, right, left, vectors.BUCKET, vectors.BLOCK)
+        met = np.zeros(len(x), bool)
+        for t in range(c.tables):
+            met |= c.substrings(left)[:, t] == c.substrings(right)[:, t]
+        assert met.mean() >= vectors.TARGET and c.width * c.tables <= 128
+    with pytest.raises(ValueError, match="near pairs"):
+        vectors.Codes(x).choose(10**6, left, ~left, left, vectors.BUCKET, vectors.BLOCK)
+
+
+def test_recall_is_measured_against_brute_force(spark):
+    rows = frame(spark, [(f"{i:05d}", v.tolist()) for i, v in enumerate(clustered(1500).astype(np.float32))])
+    (r,) = vectors.recall(rows, share=5).collect()
+    assert r.n_true % 5 == 0 and r.n_true > 1000 and r.n_found / r.n_true > 0.9
 
 
 # ---- personal information (3)
