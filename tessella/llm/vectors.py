@@ -62,7 +62,7 @@ BUCKET = 32_768
 #: A routing substring has this many bits at least, so that small collections are indexed like large ones.
 LEAST_WIDTH = 2
 #: Share of the true near pairs that routing must bring together, and share that must lie within the Hamming radius.
-TARGET, WITHIN = 0.96, 0.99
+TARGET, WITHIN = 0.95, 0.99
 MAX_TABLES = 16
 #: Rows of a block; a bucket of more is worked on in pairs of blocks.
 BLOCK = 131_072
@@ -109,7 +109,7 @@ class Codes:
     ``near_pairs`` are signs (both codes side by side) of true neighbours; radius, width and tables are chosen on them.
     """
 
-    def __init__(self, sample: np.ndarray, seed: int = 7):
+    def __init__(self, sample: np.ndarray, n_rows: int | None = None, seed: int = 7):
         x = unit(sample).astype(np.float32)
         self.mean = x.mean(0)
         x = x - self.mean
@@ -119,10 +119,15 @@ class Codes:
         _, axes = np.linalg.eigh(x.T @ x)
         axes = axes[:, ::-1][:, : self.bits].astype(np.float32)
         turned = x @ axes
+        self.n_rows = len(sample) if n_rows is None else n_rows
+        self.width, self.tables, self.radius = self.ideal(BUCKET), 1, self.bits // 5
         self.rotation = np.hstack([axes @ self._rotation(turned, rng) for _ in range(2)])
-        self.width, self.tables, self.radius = LEAST_WIDTH, 1, self.bits // 5
         self.salts: dict[tuple[int, int], int] = {}
-        self.reach, self.n_rows = 1.0, len(sample)
+        self.reach, self.uuids, self.coll = 1.0, False, ""
+
+    def ideal(self, bucket: int) -> int:
+        """Bits that bring a bucket to about ``bucket`` rows."""
+        return max(LEAST_WIDTH, round(np.log2(max(1.0, self.n_rows / bucket))))
 
     @staticmethod
     def _rotation(z: np.ndarray, rng) -> np.ndarray:
@@ -135,15 +140,13 @@ class Codes:
     def signs(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) @ self.rotation) > 0
 
-    def choose(self, n_rows: int, left: np.ndarray, right: np.ndarray, seen: np.ndarray, bucket: int, block: int) -> "Codes":
+    def choose(self, left: np.ndarray, right: np.ndarray, seen: np.ndarray, block: int) -> "Codes":
         """Radius, width and tables from the signs of near pairs; salts of large buckets from the sample's signs ``seen``."""
-        self.n_rows = n_rows
-        ideal = max(LEAST_WIDTH, round(np.log2(max(1.0, n_rows / bucket))))
         if len(left):
             far = (left[:, : self.bits] != right[:, : self.bits]).sum(1)
             self.radius = max(self.bits // 8, int(np.quantile(far, WITHIN, method="higher")))
             same = left == right
-            for self.width in range(ideal, 0, -1):
+            for self.width in range(self.width, 0, -1):
                 met = np.zeros(len(left), bool)
                 for t in range(min(MAX_TABLES, 2 * self.bits // self.width)):
                     met |= same[:, t * self.width : (t + 1) * self.width].all(1)
@@ -159,7 +162,7 @@ class Codes:
                 values, counts = np.unique(column, return_counts=True)
                 for v, c in zip(values, counts):
                     # counted generously: a bucket of few sample rows is not large
-                    rows = (c + 2 * np.sqrt(c)) * n_rows / len(seen)
+                    rows = (c + 2 * np.sqrt(c)) * self.n_rows / len(seen)
                     if rows > block:
                         self.salts[t, int(v)] = int(-(-rows // block))
         return self
@@ -198,7 +201,8 @@ def learn(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[list[str],
     The rotations come from at most ``2 * sample`` rows of all parts together, chosen by a hash of the id; radius and
     tables from the true neighbours of ``PROBES`` rows a part, found by one scan over all rows.
     """
-    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    facts = {r["part"]: r for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("id").rlike(_UUID)).alias("uuids"), F.min("coll_name").alias("coll")).collect()}
+    counts = {p: r["n"] for p, r in facts.items()}
     names = sorted(counts)
     if not names:
         return [], []
@@ -214,7 +218,9 @@ def learn(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[list[str],
         # a part whose every id missed the hash is small enough to need no rotation
         width = len(own[0]) if own else rows.where(F.col("part") == p).select(F.size("vec")).first()[0]
         samples.append(np.array(own, np.float64) if own else np.eye(width))
-    learned = [Codes(x) for x in samples]
+    learned = [Codes(x, counts[p]) for p, x in zip(names, samples)]
+    for p, c in zip(names, learned):
+        c.uuids, c.coll = facts[p]["uuids"], facts[p]["coll"]
     shared = rows.sparkSession.sparkContext.broadcast((learned, [unit(x[:PROBES]) for x in samples]))
 
     def scan(batches):
@@ -250,7 +256,7 @@ def learn(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> tuple[list[str],
         seen = c.signs(unit(x).astype(np.float32))
         two = 2 * c.bits
         right = np.unpackbits(np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)[:, :two].astype(bool) if len(at) else np.zeros((0, two), bool)
-        c.choose(counts[names[p]], seen[qs[at]], right, seen, BUCKET, BLOCK)
+        c.choose(seen[qs[at]], right, seen, BLOCK)
     return names, learned
 
 
@@ -442,19 +448,35 @@ def bucket_neighbours(ids: pa.Array, vh: np.ndarray, x: np.ndarray, codes: Codes
 # ---- dataflow
 
 
+#: An id that 16 bytes can stand for, in the same order.
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
 def _rid() -> Column:
     return F.xxhash64("part", "id")
 
 
-def neighbours(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFrame:
-    """From coll_name, part, id, vec: rid, near array<bigint> of at most k; rid is the hash of part and id."""
+def _short(names: list[str], learned: list[Codes]) -> Column:
+    """The id as bytes that keep its order within its part."""
+    plain = F.encode("id", "UTF-8")
+    of_uuids = [p for p, c in zip(names, learned) if c.uuids]
+    return F.when(F.col("part").isin(of_uuids), F.unhex(F.replace("id", F.lit("-"), F.lit("")))).otherwise(plain) if of_uuids else plain
+
+
+def _long(short: str, uuids: Column) -> Column:
+    h = F.lower(F.hex(short))
+    return F.when(uuids, F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))).otherwise(F.decode(short, "UTF-8"))
+
+
+def neighbours(rows: DataFrame, k: int = K, index: tuple[list[str], list[Codes]] | None = None) -> DataFrame:
+    """From coll_name, part, id, vec: rid, near array<bigint> of at most k; rid is the hash of part and id.  ``index``: from ``learn``."""
     sc = rows.sparkSession.sparkContext
-    names, learned = learn(rows, k, sample)
+    names, learned = index or learn(rows, k)
     if not names:
         return rows.select(_rid().alias("rid"), F.array(F.lit(0).cast("bigint")).alias("near"))
     shared = sc.broadcast(learned)
     number = {p: i for i, p in enumerate(names)}
-    work = rows.select("part", _rid().alias("rid"), "id", "vec")
+    work = rows.select("part", _rid().alias("rid"), _short(names, learned).alias("id"), "vec")
     copies = None
     tagged = work.withColumn("__v", F.xxhash64("vec"))
     hot = hot_keys(tagged, ["part", "__v"], floor=COPIES_FLOOR) if sum(c.n_rows for c in learned) > COPIES_FLOOR else None
@@ -509,10 +531,10 @@ def neighbours(rows: DataFrame, k: int = K, sample: int = SAMPLE) -> DataFrame:
         q, c, s = q[order], c[order], s[order]
         start = np.flatnonzero(np.r_[True, np.diff(q) > 0]) if len(q) else np.zeros(0, int)
         offsets = pa.array(np.r_[start, len(q)].astype(np.int32))
-        return pa.table({"rid": pa.array(rid[q[start]], pa.int64()), "far": pa.ListArray.from_arrays(offsets, pa.array(-np.round(s, 12))), "near": pa.ListArray.from_arrays(offsets, pa.array(rid[c], pa.int64()))})
+        return pa.table({"rid": pa.array(rid[q[start]], pa.int64()), "far": pa.ListArray.from_arrays(offsets, pa.array(np.rint((1 - s) * (1 << 30)).astype(np.int64).clip(0, 2**31 - 1).astype(np.int32))), "near": pa.ListArray.from_arrays(offsets, pa.array(rid[c], pa.int64()))})
 
-    routed = work.mapInArrow(route, "p int, k bigint, pair bigint, rid bigint, id string, v binary")
-    found = routed.groupBy("p", "k", "pair").applyInArrow(search, "rid bigint, far array<double>, near array<bigint>")
+    routed = work.mapInArrow(route, "p int, k bigint, pair bigint, rid bigint, id binary, v binary")
+    found = routed.groupBy("p", "k", "pair").applyInArrow(search, "rid bigint, far array<int>, near array<bigint>")
     # a short list per table meets here
     merged = found.select("rid", F.arrays_zip("far", "near").alias("z")).groupBy("rid").agg(F.flatten(F.collect_list("z")).alias("z"))
     top = merged.select("rid", F.transform(F.slice(F.array_sort(F.array_distinct("z")), 1, k), lambda e: e["near"]).alias("near"))
@@ -525,11 +547,20 @@ _ROUTED = ["p", "k", "pair", "rid", "id", "v"]
 def similar_pairs(collections: list[DataFrame], k: int = K) -> DataFrame:
     """coll_name, id_a, id_b: pairs of which one is among the other's k nearest, the smaller id first."""
     rows = reduce(DataFrame.unionByName, collections)
-    pairs = neighbours(rows, k).select("rid", F.explode("near").alias("other"))
+    names, learned = index = learn(rows, k)
+    pairs = neighbours(rows, k, index).select("rid", F.explode("near").alias("other"))
     pairs = pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).where("a <> b").distinct()
-    ids = rows.select(_rid().alias("rid"), "coll_name", "id").groupBy("rid").agg(F.first("coll_name").alias("coll_name"), F.first("id").alias("id"))
-    named = pairs.join(ids.select(F.col("rid").alias("a"), "coll_name", F.col("id").alias("x")), "a").join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b")
-    return named.select("coll_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    if not names:
+        return pairs.select(F.lit("").alias("coll_name"), F.lit("").alias("id_a"), F.lit("").alias("id_b"))
+    # names travel short: the part as a number, the id as bytes
+    numbers = F.create_map(*[F.lit(v) for i, p in enumerate(names) for v in (p, i)])
+    ids = rows.select(_rid().alias("rid"), numbers[F.col("part")].alias("p"), _short(names, learned).alias("id"))
+    ids = ids.groupBy("rid").agg(F.first("p").alias("p"), F.first("id").alias("id"))
+    named = pairs.join(ids.select(F.col("rid").alias("a"), "p", F.col("id").alias("x")), "a").join(ids.select(F.col("rid").alias("b"), F.col("id").alias("y")), "b")
+    uuids = F.col("p").isin([i for i, c in enumerate(learned) if c.uuids])
+    coll = F.create_map(*[F.lit(v) for i, c in enumerate(learned) for v in (i, c.coll)])[F.col("p")]
+    text = named.select(coll.alias("coll_name"), _long("x", uuids).alias("x"), _long("y", uuids).alias("y"))
+    return text.select("coll_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def recall(rows: DataFrame, share: int = 100, k: int = K) -> DataFrame:

@@ -243,16 +243,16 @@ def test_tables_follow_the_true_neighbours():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
     near = x + rng.normal(size=x.shape) * 0.25
-    codes = vectors.Codes(x)
-    left, right = (codes.signs(vectors.unit(z).astype(np.float32)) for z in (x, near))
     for n in (10_000, 1_000_000, 10_000_000, 100_000_000):
-        c = vectors.Codes(x).choose(n, left, right, left, vectors.BUCKET, vectors.BLOCK)
+        c = vectors.Codes(x, n)
+        left, right = (c.signs(vectors.unit(z).astype(np.float32)) for z in (x, near))
+        c.choose(left, right, left, vectors.BLOCK)
         met = np.zeros(len(x), bool)
         for t in range(c.tables):
             met |= c.substrings(left)[:, t] == c.substrings(right)[:, t]
         assert met.mean() >= vectors.TARGET and c.width * c.tables <= 128
     with pytest.raises(ValueError, match="near pairs"):
-        vectors.Codes(x).choose(10**6, left, ~left, left, vectors.BUCKET, vectors.BLOCK)
+        c.choose(left, ~left, left, vectors.BLOCK)
 
 
 def test_recall_is_measured_against_brute_force(spark):
