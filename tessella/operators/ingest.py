@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import chunking
@@ -63,7 +63,7 @@ def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]
         for t in texts:
             v = [0.0] * width
             for w in re.findall(r"\w+", t.lower()):
-                v[int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") % width] += 1.0
+                v[int(hashlib.md5(w.encode()).hexdigest(), 16) % width] += 1.0
             norm = math.sqrt(sum(x * x for x in v))
             out.append([x / norm for x in v] if norm else v)
         return out
@@ -72,29 +72,40 @@ def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]
 
 
 class TokensPerMinute:
-    """A bucket that refills evenly; a request larger than the bucket waits until it is full."""
+    """At most ``per_minute`` tokens in a minute, kept as one moment: when everything granted so far is paid for.
+
+    Credit of up to a minute may be drawn ahead of that moment; a request of more than a minute's tokens costs one
+    whole minute, so it goes once nothing is owed.
+    """
+
+    MINUTE = 60.0
 
     def __init__(self, per_minute: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         if per_minute <= 0:
             raise ValueError("per_minute must be positive")
-        self.size, self.level, self.clock, self.sleep = float(per_minute), float(per_minute), clock, sleep
-        self.at = clock()
+        self.per_minute, self.clock, self.sleep = per_minute, clock, sleep
+        self.paid = clock()
 
     def take(self, tokens: int) -> float:
         """Seconds waited for ``tokens``."""
+        cost = self.MINUTE * min(1.0, max(0, tokens) / self.per_minute)
         now = self.clock()
-        self.level = min(self.size, self.level + (now - self.at) * self.size / 60)
-        self.at = now
-        need = min(float(tokens), self.size)
-        wait = max(0.0, (need - self.level) * 60 / self.size)
+        wait = max(0.0, max(self.paid, now) + cost - self.MINUTE - now)
+        self.paid = max(self.paid, now) + cost
         if wait:
             self.sleep(wait)
-            self.at += wait
-            self.level += wait * self.size / 60
-        self.level -= need
         return wait
 
 
+def paced(requests: DataFrame, per_minute: int, order: str = "n", tokens: str = "tokens") -> DataFrame:
+    """The same schedule for a batch that comes at once: ``starts_at``, seconds from the beginning, for every request in order."""
+    if per_minute <= 0:
+        raise ValueError("per_minute must be positive")
+    cost = F.least(F.lit(1.0), F.greatest(F.lit(0), F.col(tokens)) / F.lit(per_minute)) * TokensPerMinute.MINUTE
+    owed = F.sum(cost).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return requests.withColumn("starts_at", F.greatest(F.lit(0.0), owed - TokensPerMinute.MINUTE))
+
+
 def entities_to_nodes(entities: pd.DataFrame | DataFrame) -> DataFrame:
     """scope, label, node_type of entities (scope, label, optional kind): blank labels go, unknown kinds are concepts."""
     from tessella.functions import text

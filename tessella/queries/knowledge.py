@@ -287,7 +287,7 @@ def _(spark, d):
 @query("documents_chunked")
 def _(spark, d):
     rows = chunking.chunk_documents(table(spark, d, "documents"))
-    return rows.withColumn("heading_path", F.array_join("heading_path", chunking.PATH_SEPARATOR))
+    return rows.withColumn("heading_path", F.array_join("heading_path", chunking.ChunkConfig().separator))
 
 
 # ---- lexical relevance

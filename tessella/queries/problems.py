@@ -13,11 +13,11 @@ def _ledger(spark, d):
 
 
 def p2_found(spark, d):
-    return orphans.cases(_ledger(spark, d))
+    return _ledger(spark, d).cases()
 
 
 def p2_snapshot(spark, d):
-    return orphans.snapshot(_ledger(spark, d))
+    return _ledger(spark, d).snapshot()
 
 
 def p4_found(spark, d):

@@ -22,6 +22,24 @@ def test_token_bucket():
     assert b.take(60) == 0 and b.take(30) == 30 and slept == [30]
     now[0] = 90.0
     assert b.take(500) == 0
+    with pytest.raises(ValueError):
+        ingest.TokensPerMinute(0)
+
+
+def test_a_batch_is_paced_like_single_requests(spark):
+    asked = [20, 30, 40, 0, 500, 10, 60]
+    df = spark.createDataFrame(list(enumerate(asked)), "n int, tokens int")
+    now = [0.0]
+
+    def sleep(s):
+        now[0] += s
+
+    b = ingest.TokensPerMinute(60, lambda: now[0], sleep)
+    want = []
+    for t in asked:
+        b.take(t)
+        want.append(now[0])
+    assert [r.starts_at for r in ingest.paced(df, 60).orderBy("n").collect()] == want
 
 
 def test_periodic_consolidation(spark):
