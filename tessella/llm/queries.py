@@ -84,8 +84,12 @@ P5_ROWS = f"""
 WITH a AS (SELECT id, scope, {_CANON.format(c="coalesce(category, '')")} AS cat, {_CANON.format(c='content')} AS txt,
   list_filter(regexp_split_to_array(content, '[;|\\n\\r]'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS parts FROM memories),
 b AS (SELECT *, len(parts) > 1 AND len(list_filter(parts, lambda x: NOT {_PART})) = 0 AS made FROM a WHERE regexp_matches(txt, '[\\p{{L}}\\p{{N}}]')),
-g AS (SELECT id, scope, cat, CASE WHEN made THEN array_to_string(list_sort(list_transform(parts, lambda x:
-  {_CANON.format(c="regexp_extract(x, '(?s)^([^:=]*)[:=]', 1)")} || ':' || {_CANON.format(c="regexp_extract(x, '(?s)^[^:=]*[:=](.*)$', 1)")})), '|') ELSE txt END AS k FROM b),
+t AS (SELECT id, scope, cat, txt, CASE WHEN made THEN array_to_string(list_sort(list_transform(parts, lambda x:
+  {_CANON.format(c="regexp_extract(x, '(?s)^([^:=]*)[:=]', 1)")} || ':' || {_CANON.format(c="regexp_extract(x, '(?s)^[^:=]*[:=](.*)$', 1)")})), '|') END AS tup FROM b),
+t1 AS (SELECT *, CASE WHEN tup IS NULL THEN txt ELSE min(txt) OVER (PARTITION BY scope, cat, tup) END AS g1 FROM t),
+t2 AS (SELECT *, min(g1) OVER (PARTITION BY scope, cat, txt) AS g2 FROM t1),
+t3 AS (SELECT *, CASE WHEN tup IS NULL THEN g2 ELSE min(g2) OVER (PARTITION BY scope, cat, tup) END AS g3 FROM t2),
+g AS (SELECT id, scope, cat, min(g3) OVER (PARTITION BY scope, cat, txt) AS k FROM t3),
 f AS (SELECT id, min(id) OVER (PARTITION BY scope, cat, k) AS first_id FROM g)
 """
 _IS_UUID = "regexp_full_match(lower(replace(session_id, '-', '')), '[0-9a-f]{32}')"

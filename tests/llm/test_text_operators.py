@@ -31,6 +31,22 @@ def test_copies(spark):
     assert n["a"] == 2 and n["e"] == 3 and "i" not in n and "j" not in n
 
 
+def test_equal_letters_and_equal_fields_tie_in_turn(spark):
+    rows = [
+        ("a", "s", "c", "nome: Ana; cidade: Xis"), ("b", "s", "c", "no: meAna; cidade: Xis"), ("c", "s", "c", "cidade=Xis | NO=meana"), ("d", "s", "c", "nome Ana cidade Xis"),
+        ("e", "t", "c", "cidade: Xis; no: meAna"), ("f", "t", "c", "nome: Ana; cidade: Xis"), ("g", "s", "d", "nome: Ana; cidade: Xis"), ("h", "s", "c", "nome: Ana; cidade: Xi"),
+    ]
+    got = {(r.first_id, r.copy_id) for r in copies.copy_pairs(mem(spark, rows)).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d")}
+
+
+def test_every_value_is_canonicalised_once(spark):
+    rows = [(f"{k}", "s", "fact" if k % 2 else "FACT", f"Text {k % 3}!") for k in range(30)]
+    df = copies.encode(mem(spark, rows))
+    assert {f.dataType.simpleString() for f in df.schema if f.name not in ("id", "scope")} == {"bigint", "array<bigint>"}
+    assert df.select("text_id").distinct().count() == 3 and df.select("cat_id").distinct().count() == 1
+
+
 def test_copies_of_odd_and_no_rows(spark):
     rows = [(f"i{k}", None, None, t) for k, t in enumerate(NULLS * 2)]
     assert {(r.first_id, r.copy_id) for r in copies.copy_pairs(mem(spark, rows)).collect()} == {("i11", "i5")}
@@ -78,6 +94,45 @@ def test_conversations(spark):
     assert conversations.dropped(t.limit(0)).collect() == []
 
 
+def fragments(spark, rows):
+    return spark.createDataFrame([(c, 0, f, h, "k") for c, f, h in rows], "c1 bigint, c2 bigint, fragment bigint, hashes array<bigint>, head string")
+
+
+def test_fragments_without_numbers_are_assembled(spark):
+    rows = [
+        (1, 10, [1, 2, 3]), (1, 11, [3, 4, 5, 6]), (1, 12, [5, 6, 7]), (1, 13, [4, 5]), (1, 14, [1, 2, 3]),  # one inside another, one twice
+        (2, 20, [1, 2]), (2, 21, [3, 4]),  # a gap
+        (3, 30, [1, 2]), (3, 31, [2, 3]), (3, 32, [2, 4]),  # two followers
+        (4, 40, [1, 2]), (4, 41, [2, 1]),  # a circle
+        (5, 50, [9]), (6, 60, []), (6, 61, None), (7, 70, [1, 2, 1, 2]), (7, 71, [1, 2, 5]),  # the longest overlap
+    ]
+    df = fragments(spark, rows)
+    assert {(r.left, r.right, r.n) for r in conversations.overlaps(df.where("c1 = 7")).collect()} == {(70, 71, 2)}
+    got = {}
+    for r in conversations.assemble(df).orderBy("c1", "place", "at").collect():
+        got.setdefault(r.c1, []).append(r.hash)
+    assert got == {1: [1, 2, 3, 4, 5, 6, 7], 5: [9], 7: [1, 2, 1, 2, 5]}
+    assert conversations.assemble(df.limit(0)).collect() == []
+
+
+def test_long_paths_take_few_rounds(spark):
+    n = 200
+    order = random.Random(3).sample(range(1000), n + 1)
+    df = fragments(spark, [(1, k, [order[k], order[k + 1]]) for k in range(n)])
+    got = [r.hash for r in conversations.assemble(df, 1).orderBy("place", "at").collect()]
+    assert got == order
+
+
+def test_numbered_rows_agree_with_assembled_fragments(spark):
+    rng = random.Random(5)
+    rows = [("s", U + str(c), rng.choice([0, 1, 2, 3, 3, None] if rng.random() < 0.1 else [0, 1, 2, 3]), rng.choice(["a", "a", "b"]), "r") for c in range(9) for _ in range(rng.randrange(1, 9))]
+    t = turns(spark, rows)
+    marked = conversations.exchanges(t).where("place is not null")
+    whole = {(r.c1, r.c2) for r in conversations.assemble(marked.select("c1", "c2", "fragment", "hashes"), 1).select("c1", "c2").distinct().collect()}
+    first = {(r.c1, r.c2) for r in marked.where("place = 0").collect()} - {(r.c1, r.c2) for r in conversations.exchanges(t).where("place is null").collect()}
+    assert {(r.c1, r.c2) for r in conversations.assembled(t).where("kept").collect()} == whole & first
+
+
 # ---- encoding (8)
 
 
