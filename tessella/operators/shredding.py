@@ -11,14 +11,17 @@ itself the JSON text of an object or array counts as what it encodes, at any
 depth, the record included; an object in place of a member listed in
 ``ALWAYS_LISTS`` is its element 0; elements that are no objects are not listed
 but keep their position; of a repeated member name the last counts;
-``NaN`` and ``Infinity`` are no JSON.  Records need no common schema; a path
+``NaN`` and ``Infinity`` are no JSON; records of any depth are read whole.  Records need no common schema; a path
 first met late in a record is filled up with the levels of its parent so far.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import sys
+from collections.abc import Callable, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,8 +49,94 @@ def decode(text: str | None):
         return _BAD
     try:
         return _DECODER.decode(text.lstrip("﻿"))
-    except (ValueError, RecursionError):
+    except ValueError:
         return _BAD
+    except RecursionError:
+        return decode_deep(text.lstrip("﻿"))
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?", re.A)
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def decode_deep(text: str):
+    """The JSON value of a text nested to any depth, by a list of open containers instead of calls."""
+    at, end = _SPACE.match(text, 0).end(), len(text)
+    #: Open containers; an object's next member name stands beside it.
+    held: list = []
+    names: list = []
+    try:
+        while True:
+            ch = text[at]
+            closed = False
+            if ch in "{[":
+                held.append({} if ch == "{" else [])
+                names.append(None)
+                at = _SPACE.match(text, at + 1).end()
+                if text[at] != ("}" if ch == "{" else "]"):
+                    if ch == "{":
+                        at = _member_name(text, at, names)
+                    continue
+                at, closed = at + 1, True
+            elif ch == '"':
+                value, at = scanstring(text, at + 1, True)
+            else:
+                m = _NUMBER.match(text, at)
+                if m:
+                    value, at = (float if m[1] or m[2] else int)(m[0]), m.end()
+                else:
+                    word = next((w for w in _WORDS if text.startswith(w, at)), None)
+                    if word is None:
+                        return _BAD
+                    value, at = _WORDS[word], at + len(word)
+            # the value goes into what is open around it, which may close with it
+            while True:
+                if closed:
+                    value = held.pop()
+                    names.pop()
+                at = _SPACE.match(text, at).end()
+                if not held:
+                    return value if at == end else _BAD
+                around = held[-1]
+                if isinstance(around, dict):
+                    around[names[-1]] = value
+                else:
+                    around.append(value)
+                if text[at] == ",":
+                    at = _SPACE.match(text, at + 1).end()
+                    if isinstance(around, dict):
+                        at = _member_name(text, at, names)
+                    break
+                if text[at] != ("}" if isinstance(around, dict) else "]"):
+                    return _BAD
+                at, closed = at + 1, True
+    except (ValueError, IndexError):
+        return _BAD
+
+
+def _member_name(text: str, at: int, names: list) -> int:
+    """Reads ``"name" :`` into the last of ``names``; where the value begins."""
+    if text[at] != '"':
+        raise ValueError(at)
+    names[-1], at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at] != ":":
+        raise ValueError(at)
+    return _SPACE.match(text, at + 1).end()
+
+
+def _at_any_depth(text: str, walk: Callable[[], None]) -> None:
+    """Runs a walk over a record; the calls it may nest grow with the record's brackets only where it takes that many."""
+    try:
+        walk()
+    except RecursionError:
+        was = sys.getrecursionlimit()
+        sys.setrecursionlimit(was + 8 * (text.count("{") + text.count("[")))
+        try:
+            walk()
+        finally:
+            sys.setrecursionlimit(was)
 
 
 def _open(value):
@@ -175,10 +264,13 @@ def shred(text: str | None, leaves: bool = True) -> list[Chunk]:
     if not isinstance(value, (dict, list)):
         return []
     root = Chunk("", 0, 0, False)
-    try:
+
+    def walk() -> None:
+        nonlocal root
+        root = Chunk("", 0, 0, False)
         _put(root, value, 0, leaves)
-    except RecursionError:
-        return []
+
+    _at_any_depth(text, walk)
     out, todo = [], [root]
     while todo:
         chunk = todo.pop()

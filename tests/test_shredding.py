@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.operators.shredding import ALWAYS_LISTS, _places, _render, column_chunks, object_links, object_rows, objects, shred, values
+from tessella.operators.shredding import ALWAYS_LISTS, decode, decode_deep, _places, _render, column_chunks, object_links, object_rows, objects, shred, values
 
 
 def brute(value, path="", parent="", out=None):
@@ -139,3 +139,28 @@ def test_query_keeps_the_scalars_of_the_trace_itself(spark, data):
 
     tops = [json.loads(r.fields) for r in p4_tables(spark, data).where("obj_path = ''").collect()]
     assert len(tops) > 100 and sum("trace_version" in t for t in tops) > 50
+
+
+def test_records_of_any_depth():
+    for depth in (300, 400, 3_000, 60_000 // 4):
+        text = '{"a":[' * depth + "{}" + "]}" * depth
+        got = objects(shred(text, leaves=False)) if depth < 4_000 else None
+        if got is not None:
+            assert len(got) == depth and sorted(len(p) for p, *_ in got) == [5 * k - 1 for k in range(1, depth + 1)]
+        assert decode(text) is not None and decode_deep(text[:-1]) is decode_deep("")
+    quoted = json.dumps({"x": '{"steps":[' * 500 + "{}" + "]}" * 500})
+    assert len(objects(shred(quoted, leaves=False))) == 500
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.one_of(leaf, st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=4)), lambda t: st.one_of(st.lists(t, max_size=3), st.dictionaries(st.text(max_size=2), t, max_size=3)), max_leaves=15), st.sampled_from([None, 1]), st.integers(0, 60))
+def test_the_deep_decoder_reads_what_json_reads(value, indent, cut):
+    text = json.dumps(value, indent=indent, ensure_ascii=bool(cut % 2))
+    assert decode_deep(f" {text}\n") == value
+    for broken in (text[:cut], text[:cut] + "," + text[cut:], text + "x", text[cut:]):
+        try:
+            want = json.loads(broken, parse_constant=lambda _: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            assert decode_deep(broken) is decode_deep("")
+        else:
+            assert decode_deep(broken) == want
