@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,8 @@ def uuid_text(c: Column) -> Column:
 def is_blank(c: Column) -> Column:
     """Null, empty or only white space."""
     return c.isNull() | ~c.rlike("\\S")
+
+
+def same_ids(df: DataFrame, column: str = "session_id") -> DataFrame:
+    """``df`` with the ids of a column in one notation, so that equal UUIDs are one id."""
+    return df.withColumn(column, uuid_text(F.col(column)))

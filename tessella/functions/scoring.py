@@ -18,6 +18,11 @@ def usable_vector(v: Column, width: int) -> Column:
     return F.coalesce((F.size(v) == width) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def finite_vector(v: Column, width: int) -> Column:
+    """Of the right length, with finite numbers only; zeros are allowed."""
+    return F.coalesce((F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a vector is missing, of another width or all zero."""
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))

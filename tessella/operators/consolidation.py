@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.ids import same_ids
+
 #: Confidence of what each rule emits (fixed values).
 STARTED, COMPLETED, ABANDONED, SENTIMENT, PII, PREFERENCE, FROM_MODEL = 0.9, 1.0, 0.85, 0.7, 1.0, 0.7, 0.8
 BATCH = 10
@@ -20,7 +22,7 @@ def micro(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("scope", "session_id").orderBy("turn_n", "id")
     g, s = F.coalesce("goal", F.lit("")), F.coalesce("goal_status", F.lit(""))
     mood = F.upper(F.coalesce("sentiment", F.lit("")))
-    rows = turns.select(
+    rows = same_ids(turns).select(
         "id", g.alias("g"), s.alias("s"), mood.alias("m"), F.coalesce("domains", F.array().cast("array<string>")).alias("d"), F.coalesce("pii_types", F.array().cast("array<string>")).alias("p"),
         F.lag(g).over(w).alias("pg"), F.lag(s).over(w).alias("ps"), F.lag(mood).over(w).alias("pm"), F.lag(F.coalesce("domains", F.array().cast("array<string>"))).over(w).alias("pd"),
     )
@@ -47,7 +49,7 @@ def micro(turns: DataFrame) -> DataFrame:
 def last_liked(turns: DataFrame, n: int = BATCH) -> DataFrame:
     """The last ``n`` turns of each session that were not disliked."""
     w = Window.partitionBy("scope", "session_id").orderBy(F.col("turn_n").desc_nulls_last(), F.col("id").desc())
-    return turns.where(F.coalesce(F.col("feedback"), F.lit(0)) != -1).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    return same_ids(turns).where(F.coalesce(F.col("feedback"), F.lit(0)) != -1).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
@@ -57,13 +59,13 @@ def transcripts(turns: DataFrame) -> DataFrame:
     mood = F.when(F.coalesce("sentiment", F.lit("")) == "", "NEUTRAL").otherwise(F.col("sentiment"))
     line = F.concat(F.lit("Turn "), F.coalesce(F.col("turn_n").cast("string"), F.lit("?")), F.lit(": "), F.coalesce("user_input", F.lit("")), F.lit("\n  sentiment="), mood, F.lit(" domains="), domains, goal, F.lit("\n  assistant: "), F.coalesce("response", F.lit("")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn_n", "id", line.alias("line")))), lambda x: x["line"])
-    return turns.groupBy("scope", "session_id").agg(F.array_join(lines, "\n").alias("transcript"))
+    return same_ids(turns).groupBy("scope", "session_id").agg(F.array_join(lines, "\n").alias("transcript"))
 
 
 def sole_voice(turns: DataFrame) -> DataFrame:
     """scope, session_id, voice: the one voice of all turns, or empty when a turn has none or another."""
     v = F.trim(F.coalesce("voiced_by", F.lit("")))
-    return turns.groupBy("scope", "session_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).select("scope", "session_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("").alias("voice"))
+    return same_ids(turns).groupBy("scope", "session_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).select("scope", "session_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("").alias("voice"))
 
 
 def parse_memories(replies: DataFrame, confidence: float = FROM_MODEL) -> DataFrame:
@@ -80,7 +82,7 @@ def parse_memories(replies: DataFrame, confidence: float = FROM_MODEL) -> DataFr
 
 def close_summary(turns: DataFrame) -> DataFrame:
     """scope, session_id, n_turns, n_disliked, domains: what the end of a session is summed up from."""
-    return turns.groupBy("scope", "session_id").agg(
+    return same_ids(turns).groupBy("scope", "session_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.count_if(F.col("feedback") == -1).alias("n_disliked"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("domains", F.array().cast("array<string>")))))), ",").alias("domains"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring, text
-from tessella.operators.guards import NODE_TYPES, TENANT, need_limit, need_status
+from tessella.operators.guards import EDGE_STATUSES, NODE_TYPES, TENANT, need_limit, need_status
+from tessella.plans.durable import cut
 from tessella.plans.sized import small_or_not
 
 STAFF = "__staff__"
@@ -70,46 +73,142 @@ def upsert_nodes(batch: DataFrame) -> DataFrame:
     merged = rows.groupBy("scope", "label_key", "node_type").agg(
         F.min("id").alias("id"),
         F.coalesce(F.min_by("label", accented), F.min_by("label", "id")).alias("label"),
-        F.sort_array(F.collect_list(F.when(F.size("attributes") > 0, F.struct("id", F.map_entries("attributes").alias("kv"))))).alias("__kv"),
         F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("id"))).alias("embedding"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
         F.count(F.lit(1)).alias("n_writes"),
     )
-    # map_from_entries refuses repeated keys: keep, of each key, the last entry
-    flat = F.flatten(F.transform("__kv", lambda x: x["kv"]))
-    keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(flat, lambda e: e["key"] == k), -1))
-    return merged.withColumn("attributes", F.map_from_entries(last)).drop("__kv")
+    # attributes merge one key at a time: the last write of each, combined before the shuffle
+    key = ["scope", "label_key", "node_type"]
+    entry = rows.select(*key, "id", F.explode("attributes").alias("k", "v")).groupBy(*key, "k").agg(F.max_by("v", "id").alias("v"))
+    maps = entry.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+    known = maps.select(*(F.col(c).alias(f"__{c}") for c in key), "attributes")
+    same = merged["scope"].eqNullSafe(known["__scope"]) & (merged["label_key"] == known["__label_key"]) & (merged["node_type"] == known["__node_type"])
+    none = F.create_map().cast("map<string,string>")
+    return merged.join(known, same, "left").withColumn("attributes", F.coalesce("attributes", none)).drop(*(f"__{c}" for c in key))
 
 
 def upsert_edges(batch: DataFrame) -> DataFrame:
     """One edge per scope, ends and relation after writing in order of id: an ordered fold per key.
 
     A proposal cannot change an accepted edge at all; accepted and rejected stick; an audience is only filled in, never
-    widened; the confidence is the greatest.  Keys with very many writes fold their few distinct states only.
+    widened; the confidence is the greatest.
+
+    No key's writes are collected: the first write that accepts or rejects decides the status for good, so everything
+    follows from least ids, which are combined before the shuffle.
     """
     rows = normal_edges(batch).where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    write = F.struct("id", "status", "audience", F.col("confidence").cast("double").alias("confidence"))
-    start = F.struct(F.lit("").alias("status"), F.lit("").alias("audience"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("n_applied"))
+    key = ["scope", "source_id", "target_id", "relation"]
+    settles = F.when(F.col("status").isin("accepted", "rejected"), F.struct("id", "status"))
+    first = rows.groupBy(*key).agg(F.min(settles).alias("__first"), F.max(F.struct("id", "status")).alias("__last"), F.min("id").alias("__id"))
+    known = first.select(*(F.col(c).alias(f"__{c}") for c in key), "__first", "__last", "__id")
+    same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(known[f"__{c}"]) for c in key))
+    # a proposal after the acceptance changes nothing
+    ignored = F.coalesce((F.col("__first.status") == "accepted") & (F.col("status") == "proposed") & (F.col("id") > F.col("__first.id")), F.lit(False))
+    met = rows.join(known, same)
+    counts = F.when(~ignored, F.lit(1))
+    given = F.when(~ignored & (F.col("audience") != ""), F.struct("id", "audience"))
+    return (
+        met.groupBy(*key)
+        .agg(
+            F.min("__id").alias("id"),
+            F.first(F.coalesce("__first.status", "__last.status")).alias("status"),
+            F.coalesce(F.min(given)["audience"], F.lit("")).alias("audience"),
+            F.round(F.max(F.when(~ignored, F.col("confidence").cast("double"))), 6).alias("confidence"),
+            F.count(counts).cast("int").alias("n_applied"),
+        )
+        .select("id", *key, "status", "audience", "confidence", "n_applied")
+    )
+
+
+COORDINATE = ["scope", "source", "target", "relation"]
+
+
+def _curate(edges: DataFrame, nodes: DataFrame, changes: DataFrame, column: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges, outcome per change).  ``changes``: scope, source, target (labels), relation, value."""
+    names = nodes.groupBy("scope", text.fold_label(F.trim("label")).alias("__l")).agg(F.collect_set("id").alias("__ids"))
+    asked = changes.select(*COORDINATE, value.alias("__v")).dropDuplicates(COORDINATE)
+    placed = asked
+    for end in ("source", "target"):
+        own = names.select("scope", F.col("__l").alias(f"__{end}"), F.explode("__ids").alias(f"{end}_id"))
+        placed = placed.withColumn(f"__{end}", text.fold_label(F.trim(end))).join(own, ["scope", f"__{end}"], "left")
+    at = placed.select("scope", "source_id", "target_id", "relation", *(F.col(c).alias(f"__c_{c}") for c in ("source", "target")), "__v")
+    one = at.groupBy("scope", "source_id", "target_id", "relation").agg(F.max("__v").alias("__v"), F.lit(True).alias("__hit"))
+    met = edges.join(one, ["scope", "source_id", "target_id", "relation"], "left")
+    new = met.withColumn(column, F.when(F.col("__hit"), F.col("__v")).otherwise(F.col(column))).select(*edges.columns)
+    found = at.join(edges.select("scope", "source_id", "target_id", "relation").distinct().withColumn("__is", F.lit(True)), ["scope", "source_id", "target_id", "relation"], "left")
+    said = found.groupBy("scope", F.col("__c_source").alias("source"), F.col("__c_target").alias("target"), "relation").agg(F.coalesce(F.max("__is"), F.lit(False)).alias("found"))
+    return new, said
+
+
+def set_status(edges: DataFrame, nodes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, scope, source, target, relation, found) after setting the status of edges by their coordinates.
+
+    ``changes``: scope, source, target (labels, folded), relation (exact), value; an unknown status is refused before anything runs.
+    """
+    for r in changes.select("value").distinct().limit(len(EDGE_STATUSES) + 1).collect():
+        need_status(r["value"])
+    return _curate(edges, nodes, changes, "status", F.col("value"))
+
+
+def set_audience(edges: DataFrame, nodes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for the audience; what is no audience leaves the edge unclassified."""
+    return _curate(edges, nodes, changes, "audience", audience_of(F.col("value")))
+
+
+def repeated_references(nodes: DataFrame) -> DataFrame:
+    """scope, reference, n_nodes: labels that name several nodes of a scope, so that a write by label would be ambiguous."""
+    rows = nodes.select("scope", text.fold_label(F.trim("label")).alias("reference"), "id").where(F.col("reference") != "")
+    return rows.groupBy("scope", "reference").agg(F.countDistinct("id").alias("n_nodes")).where("n_nodes > 1")
+
+
+def create_missing(edges: DataFrame, nodes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges with source_id and target_id, nodes) of edges written by label: scope, source, target, relation.
+
+    An end whose folded label no node of the scope has becomes a node of type CONCEPT; the least id of a label counts.
+    Ids of new nodes follow the greatest there is, in order of scope and label.
+    """
+    known = nodes.groupBy("scope", text.fold_label(F.trim("label")).alias("__l")).agg(F.min("id").alias("__id"))
+    ends = edges.select("scope", F.explode(F.array("source", "target")).alias("label")).where(F.col("label").rlike("\\S")).select("scope", text.squeezed(F.col("label")).alias("label")).withColumn("__l", text.fold_label(F.col("label")))
+    new = ends.groupBy("scope", "__l").agg(F.min("label").alias("label")).join(known, ["scope", "__l"], "left_anti")
+    # numbers without one task for all: new labels are few beside the nodes, and sorted by range
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    numbered = cut(new.orderBy("scope", "__l").withColumn("__n", F.monotonically_increasing_id())).join(F.broadcast(top))
+    made = numbered.select((F.col("__top") + F.col("__n") + 1).alias("id"), "scope", "label", F.lit("CONCEPT").alias("node_type"), "__l")
+    every = known.unionByName(made.select("scope", "__l", F.col("id").alias("__id")))
+    out = edges
+    for end in ("source", "target"):
+        out = out.withColumn("__l", text.fold_label(text.squeezed(F.col(end)))).join(every.withColumnRenamed("__id", f"{end}_id"), ["scope", "__l"]).drop("__l")
+    return out, nodes.unionByName(made.drop("__l").withColumn("created_at", now), allowMissingColumns=True)
+
+
+def listed(nodes: DataFrame, edges: DataFrame, reader: str, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """scope, id, place: the first visible nodes of each scope by id, of one type if given."""
+    rows = visible_nodes(nodes, edges, reader)
+    if kind is not None:
+        rows = rows.where(node_type(F.col("node_type")) == kind)
+    w = Window.partitionBy("scope").orderBy("id")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= need_limit(limit)).select("scope", "id", "place")
 
-    def step(s: Column, w: Column) -> Column:
-        ignored = (s["status"] == "accepted") & (w["status"] == "proposed")
-        status = F.when(s["status"].isin("accepted", "rejected"), s["status"]).otherwise(w["status"])
-        audience = F.when(s["audience"] != "", s["audience"]).otherwise(w["audience"])
-        merged = F.struct(status.alias("status"), audience.alias("audience"), F.greatest(s["confidence"], w["confidence"]).alias("confidence"), (s["n_applied"] + 1).alias("n_applied"))
-        return F.when(ignored, s).otherwise(merged)
 
-    folded = rows.groupBy("scope", "source_id", "target_id", "relation").agg(F.min("id").alias("id"), F.aggregate(F.sort_array(F.collect_list(write)), start, step).alias("s"))
-    return folded.select("id", "scope", "source_id", "target_id", "relation", "s.status", "s.audience", F.round("s.confidence", 6).alias("confidence"), "s.n_applied")
+def counted(nodes: DataFrame, edges: DataFrame, reader: str, label: str | None = None, kind: str | None = None) -> DataFrame:
+    """scope, n_nodes: visible nodes, of one type or one folded label if given."""
+    rows = visible_nodes(nodes, edges, reader)
+    if kind is not None:
+        rows = rows.where(node_type(F.col("node_type")) == kind)
+    if label is not None:
+        rows = rows.where(text.fold_label(F.trim("label")) == text.fold_label(F.trim(F.lit(label))))
+    return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def set_status(edges: DataFrame, edge_ids: list[int], status: str) -> DataFrame:
-    return edges.withColumn("status", F.when(F.col("id").isin(*edge_ids), F.lit(need_status(status))).otherwise(F.col("status")))
+def scanned(nodes: DataFrame, edges: DataFrame, reader: str, after_id: int = 0, limit: int = 1000) -> DataFrame:
+    """id, scope: the next page of visible nodes by id."""
+    return visible_nodes(nodes, edges, reader).where(F.col("id") > after_id).orderBy("id").limit(need_limit(limit)).select("id", "scope")
 
 
-def set_audience(edges: DataFrame, edge_ids: list[int], audience: str) -> DataFrame:
-    return edges.withColumn("audience", F.when(F.col("id").isin(*edge_ids), audience_of(F.lit(audience))).otherwise(F.col("audience")))
+def with_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that any edge of their scope touches, whatever its status or audience."""
+    return nodes.join(endpoints(edges).distinct().withColumnRenamed("node_id", "id"), ["scope", "id"], "left_semi")
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions import text
 
 FLOOR, HOP, TOP = 0.3, 0.5, 5
+#: Candidates of a scope that are ranked at most; the rest counts as irrelevant.
+MAX_CANDIDATES = 2_000
 SOURCE_ORDER = {"graph": 0, "memory": 1, "material": 2}
 
 
@@ -33,12 +35,13 @@ def graph_candidates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def memory_candidates(memories: DataFrame) -> DataFrame:
     rows = memories.where(F.col("content").rlike("\\S"))
-    w = Window.partitionBy("scope").orderBy("created_at", "id")
-    return rows.select("scope", F.concat(F.lit("memory:"), "id").alias("id"), F.lit("memory").alias("source"), F.col("content").alias("body"), F.row_number().over(w).cast("bigint").alias("prior"), F.lit("").alias("head"), F.lit("").alias("tail"))
+    # what was written first comes first: its time orders like its place, and needs no sort
+    first = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62)))
+    return rows.select("scope", F.concat(F.lit("memory:"), "id").alias("id"), F.lit("memory").alias("source"), F.col("content").alias("body"), first.alias("prior"), F.lit("").alias("head"), F.lit("").alias("tail"))
 
 
-def rank(candidates: DataFrame, questions: list[str], prefix: int = 0, hop: float = HOP) -> DataFrame:
-    """Candidates with score and place per scope.
+def rank(candidates: DataFrame, questions: list[str], prefix: int = 0, hop: float = HOP, most: int = MAX_CANDIDATES) -> DataFrame:
+    """The first ``most`` candidates of each scope with score and place; the bound cuts before the shuffle.
 
     A graph candidate whose head is the tail of one that scores by itself gets ``hop`` times the best of those; one pass.
     """
@@ -49,7 +52,7 @@ def rank(candidates: DataFrame, questions: list[str], prefix: int = 0, hop: floa
     order = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_ORDER.items() for x in kv]), F.col("source")), F.lit(3))
     scored = met.withColumn("score", F.round(F.greatest("own", bonus), 6)).withColumn("__o", order)
     w = Window.partitionBy("scope").orderBy(F.col("score").desc(), "__o", "prior", "id")
-    return scored.withColumn("place", F.row_number().over(w)).drop("__best", "__o", "own")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("__best", "__o", "own")
 
 
 def chosen(ranked: DataFrame, floor: float = FLOOR, top: int = TOP) -> DataFrame:
@@ -78,6 +81,14 @@ def decide(ranked: DataFrame, anchors: list[str], failed: bool = False, floor: f
 
 
 CLIP = 600
+#: Words by which someone speaks of themselves, in Portuguese and English (fixed values).
+FIRST_PERSON = ("eu", "me", "mim", "comigo", "meu", "minha", "my", "mine", "myself")
+
+
+def speaks_of_self(c: Column) -> Column:
+    """Whether a text speaks of its writer: a word of ``FIRST_PERSON``, or an I that stands alone."""
+    said = F.arrays_overlap(text.tokens(c), F.array(*(F.lit(w) for w in FIRST_PERSON)))
+    return F.coalesce(said | text.fold(c).rlike(r"(?<![a-z0-9])i(?![a-z0-9])"), F.lit(False))
 
 
 def variants(query: str, original: str | None) -> list[str]:

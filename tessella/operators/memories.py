@@ -84,10 +84,12 @@ def adjust_feedback(memories: DataFrame, words: str, delta: float, limit: int =
     """Memories with ``delta`` added to the first ``limit`` rows of each scope that share a word, within the bounds."""
     q = text.terms(F.lit(words))
     shares = F.coalesce(F.arrays_overlap(text.terms(F.col("content")), q), F.lit(False))
-    w = Window.partitionBy("scope", "__m").orderBy("created_at", "id")
-    hit = F.col("__m") & (F.row_number().over(w) <= need_limit(limit))
+    # only rows that share a word are ranked, with a limit that cuts before the shuffle; the few that count are joined back
+    w = Window.partitionBy("scope").orderBy("created_at", "id")
+    hit = memories.where(shares).select("scope", "id", "created_at").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= need_limit(limit))
+    met = memories.join(hit.select("id", F.lit(True).alias("touched")), "id", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
     moved = F.greatest(F.lit(-FEEDBACK_LIMIT), F.least(F.lit(FEEDBACK_LIMIT), F.coalesce(F.col("feedback_score"), F.lit(0.0)) + F.lit(delta)))
-    return memories.withColumn("__m", shares).withColumn("__h", hit).withColumn("feedback_score", F.when(F.col("__h"), moved).otherwise(F.col("feedback_score"))).withColumnRenamed("__h", "touched").drop("__m")
+    return met.withColumn("feedback_score", F.when(F.col("touched"), moved).otherwise(F.col("feedback_score"))).select(*memories.columns, "touched")
 
 
 def counts(memories: DataFrame) -> DataFrame:
@@ -118,18 +120,23 @@ def purge(scope: str, **tables: DataFrame) -> tuple[dict[str, DataFrame], DataFr
     return {name: df.where(~gone) for name, df in tables.items()}, counts_
 
 
-def reembed(memories: DataFrame, embed, batch: int = 256) -> DataFrame:
-    """Memories with vectors made anew by ``embed(list of texts) -> list of vectors``; an empty answer keeps the old one."""
-    columns = memories.columns
+def scopes(memories: DataFrame) -> DataFrame:
+    return memories.select("scope").distinct()
+
+
+def reembed(rows: DataFrame, embed, text_col: str = "content", batch: int = 256) -> DataFrame:
+    """Rows with vectors made anew by ``embed(list of texts) -> list of vectors``; an empty answer keeps the old one.
+
+    Memories by their content, nodes by ``text_col="label"``.
+    """
+    columns = rows.columns
 
     def run(frames):
         for f in frames:
             for lo in range(0, len(f), batch):
                 part = f.iloc[lo : lo + batch].copy()
-                new = embed(part["content"].fillna("").tolist())
+                new = embed(part[text_col].fillna("").tolist())
                 part["embedding"] = [n if n is not None and len(n) else o for n, o in zip(new, part["embedding"])]
                 yield part[columns]
 
-    return memories.mapInPandas(run, memories.schema)
-
-
+    return rows.mapInPandas(run, rows.schema)

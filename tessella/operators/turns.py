@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.functions.ids import same_ids
 from tessella.operators.guards import need_limit, need_text
 
 TRACE_WINDOW_SECONDS = 3_600
@@ -16,9 +17,9 @@ LOSS_EVENTS = ("turn_conflict", "turn_allocation_exhausted", "trace_refused")
 def save(stored: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, lost) of a batch of numbered turns: the first of a coordinate by ``id`` stays, later ones and stored coordinates are losses."""
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))
-    ranked = batch.withColumn("__n", place)
+    ranked = same_ids(batch).withColumn("__n", place)
     if stored is not None:
-        ranked = ranked.join(stored.select(*KEY, F.lit(True).alias("__old")).distinct(), KEY, "left")
+        ranked = ranked.join(same_ids(stored).select(*KEY, F.lit(True).alias("__old")).distinct(), KEY, "left")
     else:
         ranked = ranked.withColumn("__old", F.lit(None).cast("boolean"))
     new = (F.col("__n") == 1) & F.col("__old").isNull()
@@ -27,6 +28,7 @@ def save(stored: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFra
 
 def allocate(turns: DataFrame) -> DataFrame:
     """Turns whose number is negative get the next numbers of their session in order of ``id``; the first number given is 1."""
+    turns = same_ids(turns)
     free = F.coalesce(F.col("turn_n") < 0, F.lit(False))
     key = ["scope", "session_id"]
     numbered = turns.where(~free)
@@ -59,17 +61,33 @@ def masked(turns: DataFrame, only_flagged: bool = True) -> DataFrame:
 
 def update(turns: DataFrame, changes: DataFrame, column: str) -> DataFrame:
     """Turns with ``column`` as in ``changes`` (scope, session_id, turn_n, seq, value); the last change of a coordinate wins."""
-    last = changes.groupBy(*KEY).agg(F.max(F.struct("seq", "value")).alias("__c"))
+    turns = same_ids(turns)
+    last = same_ids(changes).groupBy(*KEY).agg(F.max(F.struct("seq", "value")).alias("__c"))
     return turns.join(last, KEY, "left").withColumn(column, F.when(F.col("__c").isNotNull(), F.col("__c.value")).otherwise(F.col(column))).drop("__c")
 
 
 def counts(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("scope", "session_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    return same_ids(turns).groupBy("scope", "session_id").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+def load(turns: DataFrame) -> DataFrame:
+    """scope, session_id, turn_n, id, place: the turns of every session in order."""
+    w = Window.partitionBy("scope", "session_id").orderBy("turn_n", "id")
+    return same_ids(turns).select("scope", "session_id", "turn_n", "id", F.row_number().over(w).alias("place"))
+
+
+def traces_of(traces: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored traces of sessions (``keys``: session_id, scope; a null or empty scope is any), in order of turn_n within each."""
+    asked = same_ids(keys).select(F.col("session_id").alias("__i"), F.coalesce("scope", F.lit("")).alias("__s")).distinct()
+    rows = revise_traces(traces)[0]
+    w = Window.partitionBy("scope", "session_id").orderBy("turn_n", "created_at", "id")
+    met = rows.join(asked, (rows["session_id"] == asked["__i"]) & ((asked["__s"] == "") | (asked["__s"] == rows["scope"])), "left_semi")
+    return met.withColumn("place", F.row_number().over(w))
 
 
 def recent(turns: DataFrame, limit: int = 5, exclude_session: str = "") -> DataFrame:
     """The newest turns of each scope across its sessions, equal times by greater id."""
-    rows = turns.where((F.lit(exclude_session) == "") | ~F.col("session_id").eqNullSafe(F.lit(exclude_session)))
+    rows = same_ids(turns).where((F.lit(exclude_session) == "") | ~F.col("session_id").eqNullSafe(F.lit(exclude_session)))
     w = Window.partitionBy("scope").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= need_limit(limit)).select("scope", "id", "session_id", "turn_n", "place")
 
@@ -90,6 +108,7 @@ def revise_traces(traces: DataFrame, window_seconds: int = TRACE_WINDOW_SECONDS)
     The first write of a coordinate is its anchor for ever; a later one replaces the content only if its time is no
     later than the anchor's plus the window.  Neither side needs a sequential pass: the anchor is the least id.
     """
+    traces = same_ids(traces)
     anchor = traces.groupBy(*KEY).agg(F.min(F.struct("id", "created_at")).alias("__a"))
     met = traces.join(anchor.select(*[F.col(k).alias(f"__{k}") for k in KEY], "__a"), _same_key(traces), "left")
     fits = F.coalesce(F.col("created_at") <= F.col("__a.created_at") + F.make_interval(secs=F.lit(window_seconds)), F.lit(False)) | (F.col("id") == F.col("__a.id"))

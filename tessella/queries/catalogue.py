@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.queries import knowledge, problems, store
+from tessella.queries import knowledge, library, problems, store
 
-_MODULES = (problems, store, knowledge)
+_MODULES = (problems, store, knowledge, library)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring
@@ -52,10 +54,16 @@ def _(spark, d):
 _LABEL = "regexp_replace(trim(regexp_replace(label, '\\s+', ' ', 'g')), '^ | $', '', 'g')"
 
 
-@query("nodes_upserted", f"""WITH r AS (SELECT *, {_TYPE} AS nt, {_KEY.format(c="trim(regexp_replace(label, '[ \\t\\n\\r]+', ' ', 'g'))")} AS k, strip_accents(lower(label)) <> lower(label) AS acc FROM knowledge_nodes WHERE label IS NOT NULL AND trim(label) <> '')
-SELECT min(id) AS id, scope, nt AS node_type, coalesce(arg_min(label, id) FILTER (WHERE acc), arg_min(label, id)) AS label, count(embedding) > 0 AS has_vector, count(*) AS n_writes FROM r GROUP BY scope, nt, k""")
+@query("nodes_upserted", f"""WITH r AS (SELECT *, {_TYPE} AS nt, {_KEY.format(c="trim(regexp_replace(label, '[ \\t\\n\\r]+', ' ', 'g'))")} AS k, strip_accents(lower(label)) <> lower(label) AS acc FROM knowledge_nodes WHERE label IS NOT NULL AND trim(label) <> ''),
+a AS (SELECT scope, nt, k, e.key AS ak, arg_max_null(e.value, id) AS av FROM (SELECT scope, nt, k, id, unnest(map_entries(attributes)) AS e FROM r) GROUP BY ALL),
+b AS (SELECT scope, nt, k, string_agg(ak || '=' || coalesce(av, '~'), ';' ORDER BY ak) AS attributes FROM a GROUP BY ALL),
+m AS (SELECT min(id) AS id, scope, nt, k, coalesce(arg_min(label, id) FILTER (WHERE acc), arg_min(label, id)) AS label, arg_max(embedding, id) FILTER (WHERE embedding IS NOT NULL) AS v, count(*) AS n_writes FROM r GROUP BY scope, nt, k)
+SELECT m.id, m.scope, m.nt AS node_type, m.label, coalesce(b.attributes, '') AS attributes, coalesce(len(m.v), -1)::INT AS vector_size, round(coalesce(m.v[1]::DOUBLE, 0.0), 5) AS vector_first, m.n_writes FROM m LEFT JOIN b ON b.scope IS NOT DISTINCT FROM m.scope AND b.nt = m.nt AND b.k = m.k""")
 def _(spark, d):
-    return graph.upsert_nodes(_ne(spark, d)[0]).select("id", "scope", "node_type", "label", F.col("embedding").isNotNull().alias("has_vector"), "n_writes")
+    rows = graph.upsert_nodes(_ne(spark, d)[0])
+    entries = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~"))))
+    first = F.round(F.coalesce(F.get("embedding", F.lit(0)).cast("double"), F.lit(0.0)), 5)
+    return rows.select("id", "scope", "node_type", "label", F.array_join(entries, ";").alias("attributes"), F.coalesce(F.size("embedding"), F.lit(-1)).alias("vector_size"), first.alias("vector_first"), "n_writes")
 
 
 @query("edges_upserted", f"""WITH w AS (SELECT * FROM {EDGES} WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
@@ -119,26 +127,22 @@ def _(spark, d):
 
 @query("nodes_listed", f"SELECT scope, id, place FROM (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY id) AS place FROM {VISIBLE} WHERE {_TYPE} = 'PERSON') WHERE place <= 100")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    rows = graph.visible_nodes(*_ne(spark, d), READER).where(graph.node_type(F.col("node_type")) == "PERSON")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("id"))).where("place <= 100").select("scope", "id", "place")
+    return graph.listed(*_ne(spark, d), READER, "PERSON")
 
 
 @query("nodes_counted", f"SELECT scope, count(*) AS n_nodes FROM {VISIBLE} WHERE {_TYPE} = 'ORG' GROUP BY 1")
 def _(spark, d):
-    return graph.visible_nodes(*_ne(spark, d), READER).where(graph.node_type(F.col("node_type")) == "ORG").groupBy("scope").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return graph.counted(*_ne(spark, d), READER, kind="ORG")
 
 
 @query("nodes_scanned", f"SELECT id, scope FROM {VISIBLE} WHERE id > 100 ORDER BY id LIMIT 1000")
 def _(spark, d):
-    return graph.visible_nodes(*_ne(spark, d), READER).where("id > 100").orderBy("id").limit(1000).select("id", "scope")
+    return graph.scanned(*_ne(spark, d), READER, 100)
 
 
 @query("nodes_with_edges", f"SELECT n.id FROM knowledge_nodes n SEMI JOIN {ENDS.format(e='knowledge_edges')} x ON x.scope = n.scope AND x.node_id = n.id")
 def _(spark, d):
-    n, e = _ne(spark, d)
-    return n.join(graph.endpoints(e).distinct().withColumnRenamed("node_id", "id"), ["scope", "id"], "left_semi").select("id")
+    return graph.with_edges(*_ne(spark, d)).select("id")
 
 
 @query("edges_pending", f"""SELECT scope, id, source_label, relation, target_label, place FROM (SELECT e.scope, e.id, s.label AS source_label, e.relation, t.label AS target_label, row_number() OVER (PARTITION BY e.scope ORDER BY e.created_at NULLS FIRST, e.id) AS place
@@ -254,6 +258,10 @@ def _doc_queries(spark, d, vector: bool):
 _WORDS = "list_distinct(regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{N}}_]+'))"
 
 
+#: The chunks of a library with one embedding model.
+ONE_MODEL = "(SELECT * FROM kb_chunks WHERE embed_model = 'em-small-64')"
+
+
 def _search_sql(vector: bool) -> str:
     lex = "len(list_intersect(q.w, c.w)) / len(q.w)::DOUBLE"
     cos = "CASE WHEN c.embedding IS NOT NULL AND len(c.embedding) = 64 AND list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(c.embedding::DOUBLE[], q.v::DOUBLE[]) ELSE 0.0 END"
@@ -269,9 +277,16 @@ def _(spark, d):
     return documents.search(table(spark, d, "kb_chunks"), _doc_queries(spark, d, False))
 
 
-@query("doc_search_hybrid", _search_sql(True))
+@query("doc_search_hybrid", re.sub(r"FROM kb_chunks\b(?! WHERE embed_model)", "FROM " + ONE_MODEL, _search_sql(True)))
 def _(spark, d):
-    return documents.search(table(spark, d, "kb_chunks"), _doc_queries(spark, d, True), "em-small-64", vectors_used=True)
+    # where every model is the query's, vectors count
+    return documents.search(table(spark, d, "kb_chunks").where("embed_model = 'em-small-64'"), _doc_queries(spark, d, True), "em-small-64")
+
+
+@query("doc_search_models_differ", _search_sql(False))
+def _(spark, d):
+    # where one is not, they do not
+    return documents.search(table(spark, d, "kb_chunks").where("document_id IS NOT NULL"), _doc_queries(spark, d, True), "no-such-model")
 
 
 @query("doc_read", f"SELECT document_id, ordinal, content, total > 5 AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS n, count(*) OVER (PARTITION BY document_id) AS total FROM {SERVED} WHERE ordinal > 1) WHERE n <= 5")
@@ -302,6 +317,10 @@ s AS (SELECT o.scope, o.id, o.source, o.prior, o.head, o.tail, round(greatest(ow
 SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, CASE source WHEN 'graph' THEN 0 ELSE 1 END, prior, id) AS place FROM s)"""
 
 
+#: Of each scope as many as are ranked at most.
+RANKED = f"(SELECT * FROM {RANKED} WHERE place <= 2000)"
+
+
 def _ranked(spark, d):
     n, e = _ne(spark, d)
     c = lexical.graph_candidates(graph.visible_edges(e, READER), n).unionByName(lexical.memory_candidates(table(spark, d, "memories")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions.text import MASKS, STOPWORDS
@@ -13,11 +15,23 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+_H = "lower(replace({c}, '-', ''))"
+#: An id with equal UUIDs in one notation.
+SID = "CASE WHEN regexp_full_match(" + _H + ", '[0-9a-f]{{32}}') THEN concat_ws('-', " + ", ".join(f"{_H}[{a}:{b}]" for a, b in ((1, 8), (9, 12), (13, 16), (17, 20), (21, 32))) + ") ELSE {c} END"
+
+
+def one_notation(sql: str) -> str:
+    """The SQL over turns, traces and sessions whose ids are in one notation."""
+    for name, column in (("turns", "session_id"), ("turn_traces", "session_id"), ("sessions", "id")):
+        sql = re.sub(rf"\bFROM {name}\b", f'FROM (SELECT * REPLACE ({SID.format(c=column)} AS {column}) FROM "{name}")', sql)
+    return sql
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = one_notation(sql)
         return f
 
     return add
@@ -41,9 +55,9 @@ def _(spark, d):
     return sessions.recent(table(spark, d, "sessions"))
 
 
-@query("sessions_active", f"SELECT scope, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY started_at DESC, id DESC) AS n FROM {STORED} WHERE ended_at IS NULL AND started_at > TIMESTAMP '{NOW}' - INTERVAL 43200 SECOND AND started_at <= TIMESTAMP '{NOW}') WHERE n = 1")
+@query("sessions_active", f"SELECT scope, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY started_at DESC, id DESC) AS n FROM {STORED} WHERE ended_at IS NULL AND started_at > TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND started_at <= TIMESTAMP '{NOW}') WHERE n = 1")
 def _(spark, d):
-    return sessions.active(table(spark, d, "sessions"), now())
+    return sessions.active(table(spark, d, "sessions"), now(), within_seconds=90 * 86_400)
 
 
 @query("sessions_idle", f"SELECT * FROM {IDLE}")
@@ -126,10 +140,7 @@ def _(spark, d):
 
 @query("turns_loaded", "SELECT scope, session_id, turn_n, id, row_number() OVER (PARTITION BY scope, session_id ORDER BY turn_n NULLS FIRST, id) AS place FROM turns")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("scope", "session_id").orderBy("turn_n", "id")
-    return table(spark, d, "turns").select("scope", "session_id", "turn_n", "id", F.row_number().over(w).alias("place"))
+    return turns.load(table(spark, d, "turns"))
 
 
 @query("turn_counts", "SELECT scope, session_id, count(*) AS n_turns FROM turns GROUP BY 1, 2")
@@ -198,6 +209,7 @@ def _(spark, d):
 
 
 TEXT = "tem vaga na aula de cerâmica da lista de espera?"
+TWO_WORDS = "a aula de cerâmica"
 USABLE = "(embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 COS = "list_cosine_similarity(m.embedding::DOUBLE[], q.v::DOUBLE[])"
 
@@ -210,22 +222,22 @@ def terms_sql(c: str) -> str:
     return f"list_distinct(list_filter({TOKENS.format(c=c)}, lambda t: NOT list_contains({stop_list()}, t)))"
 
 
-def _queries(spark, d, with_text: bool, with_vector: bool):
+def _queries(spark, d, with_text: bool, with_vector: bool, text: str = TEXT):
     m = table(spark, d, "memories")
     from tessella.functions import scoring
 
     seed = m.where(scoring.usable_vector(F.col("embedding"), 64)).groupBy("scope").agg(F.min_by("embedding", "id").alias("v"))
     base = seed if with_vector else m.select("scope").distinct()
-    return base.select("scope", F.lit("q").alias("query_id"), F.lit(TEXT if with_text else None).cast("string").alias("query_text"), (F.col("v") if with_vector else F.lit(None).cast("array<float>")).alias("query_vector"))
+    return base.select("scope", F.lit("q").alias("query_id"), F.lit(text if with_text else None).cast("string").alias("query_text"), (F.col("v") if with_vector else F.lit(None).cast("array<float>")).alias("query_vector"))
 
 
-def _retrieval_sql(with_text: bool, with_vector: bool, match_all: bool = False) -> str:
+def _retrieval_sql(with_text: bool, with_vector: bool, match_all: bool = False, text: str = TEXT) -> str:
     q = f"SELECT scope, arg_min(embedding, id) AS v FROM memories WHERE {USABLE} GROUP BY 1" if with_vector else "SELECT DISTINCT scope, NULL AS v FROM memories"
     lex = "len(list_intersect(qt, ct)) / len(qt)::DOUBLE" if with_text else "0.0"
     sim = COS if with_vector else "0.0"
     where = ["true"] + ([USABLE.replace("embedding", "m.embedding")] if with_vector else []) + (["len(list_intersect(qt, ct)) = len(qt)"] if match_all else [])
     score = f"round({sim} * 0.60 + {lex} * 0.40 + coalesce(m.feedback_score::DOUBLE, 0.0) * 0.05, 6)"
-    return f"""WITH q AS ({q}), m AS (SELECT scope, id, embedding, feedback_score, coalesce({terms_sql('content')}, []) AS ct, {terms_sql(chr(39) + TEXT + chr(39))} AS qt FROM memories)
+    return f"""WITH q AS ({q}), m AS (SELECT scope, id, embedding, feedback_score, coalesce({terms_sql('content')}, []) AS ct, {terms_sql(chr(39) + text + chr(39))} AS qt FROM memories)
 SELECT scope, query_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS place FROM (SELECT m.scope, 'q' AS query_id, m.id, {score} AS score FROM m JOIN q ON q.scope = m.scope WHERE {' AND '.join(where)})) WHERE place <= 5"""
 
 
@@ -234,9 +246,9 @@ def _(spark, d):
     return memories.retrieve(table(spark, d, "memories"), _queries(spark, d, True, False))
 
 
-@query("memories_by_all_words", _retrieval_sql(True, False, True))
+@query("memories_by_all_words", _retrieval_sql(True, False, True, TWO_WORDS))
 def _(spark, d):
-    return memories.retrieve(table(spark, d, "memories"), _queries(spark, d, True, False), match_all=True)
+    return memories.retrieve(table(spark, d, "memories"), _queries(spark, d, True, False, TWO_WORDS), match_all=True)
 
 
 @query("memories_by_vector", _retrieval_sql(False, True))
@@ -284,7 +296,7 @@ def _(spark, d):
 
 @query("memory_scopes", "SELECT DISTINCT scope FROM memories")
 def _(spark, d):
-    return table(spark, d, "memories").select("scope").distinct()
+    return memories.scopes(table(spark, d, "memories"))
 
 
 _DOOMED = "coalesce(created_at < TIMESTAMP '2026-01-01' AND confidence <= 0.7::FLOAT, false)"
