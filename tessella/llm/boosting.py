@@ -61,8 +61,9 @@ class Boosted:
         hit = np.cumsum(y[order])
         f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
         best = int(f1.argmax())
-        nxt = p[order[best + 1]] if best + 1 < len(p) else 0.0
-        self.threshold = float((p[order[best]] + nxt) / 2)
+        # of all thresholds that give this F1 the one nearest to even odds
+        low = p[order[best + 1]] if best + 1 < len(p) else 0.0
+        self.threshold = float(np.clip(0.5, (low + p[order[best]]) / 2, p[order[best]]))
         self.f1 = float(f1[best])
         return self
 

@@ -5,9 +5,11 @@ broadcast; every training document is scanned once, its token windows are
 hashed by one vectorised polynomial per batch, hits are verified word by word
 against the items, and documents or only the leaked spans can be removed.
 
-What is broadcast is checked: items are taken in blocks of at most
-``BLOCK_CHARS`` characters, each block's set scans all documents.  The corpus
-is never shuffled.
+What is broadcast is checked: items are taken in blocks of about
+``BLOCK_CHARS`` characters.  One block is the common case and one scan of the
+corpus, without a shuffle.  More blocks are worked on one at a time: a block's
+set is broadcast, scans all documents, its hits are written, and it is given
+back before the next one is read.
 
 Words are runs of letters and digits; case and accents are disregarded.
 Defined cases: null, empty or shorter texts leak nothing; an item shorter than
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.durable import spread
+from tessella.plans.durable import cut, spread
 
 #: Words in a row that make a leak.
 N_WORDS = 13
 #: Characters of items whose n-grams are broadcast at once.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 
 _ASCII = re.compile(r"[a-z0-9]+")
 _ANY = re.compile(r"[^\W_]+")
@@ -132,70 +136,86 @@ def _hits(docs: list[str | None], block, win: Windows):
             k += 1
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items, a list at a time of about ``block_chars`` characters, so that each can be broadcast."""
     total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = -(-total // block_chars)
+    n = max(1, -(-total // block_chars))
     rows = items.where(F.col(text_col).isNotNull()).select(id_col, text_col)
-    if n <= 1:
-        yield [tuple(r) for r in rows.collect()]
-        return
     for b in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == b).collect()]
+        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == b)).collect()]
 
 
-def leaked(docs: DataFrame, items: DataFrame, n: int = N_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id: each document with every item it shares ``n`` words in a row with."""
+def hits(docs: DataFrame, items: DataFrame, n: int = N_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, places array<int>: each document with every item it shares ``n`` words in a row with, and where."""
     sc = docs.sparkSession.sparkContext
     source = spread(docs.select("doc_id", "text"))
-    out = None
-    for rows in item_blocks(items.select("item_id", "text"), "item_id", "text", block_chars):
+    parts: list[DataFrame] = []
+    blocks = item_blocks(items.select("item_id", "text"), "item_id", "text", block_chars)
+    rows, after = next(blocks), None
+    while rows is not None:
+        after = next(blocks, None)
         shared = sc.broadcast(_block(rows, n))
 
         def run(batches, shared=shared):
             block, win = shared.value, Windows(n)
             for b in batches:
                 ids = b.column(0).to_pylist()
-                found = sorted({(ids[d], block[4][w]) for d, _, w in _hits(b.column(1).to_pylist(), block, win)})
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["doc_id", "item_id"])
+                found: dict[tuple[int, int], list[int]] = {}
+                for d, p, w in _hits(b.column(1).to_pylist(), block, win):
+                    found.setdefault((d, w), []).append(p)
+                order = sorted(found)
+                places = pa.array([sorted(set(found[k])) for k in order], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in order], pa.int64()), pa.array([block[4][w] for _, w in order], pa.int64()), places], names=["doc_id", "item_id", "places"])
+
+        part = source.mapInArrow(run, "doc_id bigint, item_id bigint, places array<int>")
+        if after is not None or parts:
+            part = cut(part)
+            shared.unpersist()
+        parts.append(part)
+        rows = after
+    return reduce(DataFrame.unionByName, parts)
 
-        part = source.mapInArrow(run, "doc_id bigint, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def leaked(docs: DataFrame, items: DataFrame, n: int = N_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id: each document with every item it shares ``n`` words in a row with."""
+    # ids may repeat, in the items and among the documents
+    return hits(docs, items, n, block_chars).select("doc_id", "item_id").distinct()
+
+
+def without(text: str, places: Iterable[int], n: int = N_WORDS, mark: str = " ") -> tuple[str, int]:
+    """The text without the spans of ``n`` words that begin at these words, and how many spans that were."""
+    ws = spans(text)
+    merged: list[list[int]] = []
+    for p in sorted(set(places)):
+        lo, hi = ws[p][1], ws[p + n - 1][2]
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    at, parts = 0, []
+    for lo, hi in merged:
+        parts += [text[at:lo], mark]
+        at = hi
+    return "".join(parts) + text[at:], len(merged)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, n: int = N_WORDS, block_chars: int = BLOCK_CHARS, mark: str = " ") -> DataFrame:
     """doc_id, text, n_removed: every document, its leaked spans replaced by ``mark``.
 
-    Items of all blocks are looked for in the text as it was: spans of one block do not hide another's.
+    Items of all blocks are looked for in the text as it was: spans of one block do not hide another's.  Only documents
+    with hits meet them in a join; rows that repeat an id are told apart by their text.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(_block(rows, n)) for rows in item_blocks(items.select("item_id", "text"), "item_id", "text", block_chars)]
+    key = F.xxhash64("doc_id", "text")
+    found = hits(docs.where(F.col("text").isNotNull()).select(key.alias("doc_id"), "text"), items, n, block_chars)
+    places = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).withColumnRenamed("doc_id", "__k")
+    met = docs.select("doc_id", "text", key.alias("__k")).join(places, "__k", "left").select("doc_id", "text", "places")
 
     def run(batches):
-        win = Windows(n)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            starts: dict[int, set[int]] = {}
-            for shared in blocks:
-                for d, p, _ in _hits(texts, shared.value, win):
-                    starts.setdefault(d, set()).add(p)
-            counts = [0] * len(texts)
-            for d, places in starts.items():
-                ws = spans(texts[d])
-                covered = sorted((ws[p][1], ws[p + n - 1][2]) for p in places)
-                merged: list[list[int]] = []
-                for lo, hi in covered:
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
-                text, at, parts = texts[d], 0, []
-                for lo, hi in merged:
-                    parts += [text[at:lo], mark]
-                    at = hi
-                texts[d] = "".join(parts) + text[at:]
-                counts[d] = len(merged)
+            texts, counts = b.column(1).to_pylist(), [0] * b.num_rows
+            for i, p in enumerate(b.column(2).to_pylist()):
+                if p:
+                    texts[i], counts[i] = without(texts[i], p, n, mark)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_removed"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, text string, n_removed int")
+    return met.mapInArrow(run, "doc_id bigint, text string, n_removed int")

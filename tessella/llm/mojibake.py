@@ -13,8 +13,10 @@ that are quoted, or that stand in one line with their own sound form, are
 examples; a document with nothing else is sound.  U+FFFD inside a word is
 garbling that cannot be restored.
 
-The sample (``SAMPLE_DOCS`` documents at most, chosen by a hash of the key) only
-trains the classifier; every document is judged, whole.
+The sample (``SAMPLE_DOCS`` documents at most, the first by a hash of the key)
+only trains the classifier; every document is judged, whole.  How common a word
+is, which decides between two readings where strict decoding proves nothing, is
+counted over all documents.
 
 Defined cases: null, empty and plain ASCII texts are sound; scripts no chain
 can produce are sound; repeated rows are judged alike.
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from tessella.plans.durable import spread
 
 SAMPLE_DOCS = 4000
+#: A word is known from this share of the documents on (and from a few on).
+KNOWN_SHARE, KNOWN_FLOOR = 1e-4, 3
 #: Buckets of the bigram hash.
 BUCKETS = 1 << 15
 #: Least log odds of a chain against "sound" for a word to count as garbled.
 LEAST_ODDS = 3.0
 #: A chain between single-byte code pages inverts on any text, so strict decoding proves nothing: such words count only
-#: if the odds of the document's different ones add up to this.
+#: if the odds of the document's different ones add up to this; the evidence a verdict needs, at every size of corpus.
 LEAST_DOCUMENT_ODDS = 8.0
 
 #: Western and Cyrillic code pages that UTF-8 or each other's bytes are misread as.
@@ -135,10 +139,10 @@ def _lettered(text: str) -> bool:
 class Classifier:
     """Multinomial classifier: class 0 is sound, class k is CHAINS[k - 1]."""
 
-    def __init__(self, words: dict[str, int], smoothing: float = 0.05):
-        #: How often each bare word stands in the sample.
+    def __init__(self, words: dict[str, int], known: dict[str, int] | None = None, smoothing: float = 0.05):
+        #: In how many documents of the whole corpus each common bare word stands.
         self.known: dict[str, int] = {}
-        for w, k in words.items():
+        for w, k in (words if known is None else known).items():
             w = w.strip(_EDGE) or w
             self.known[w] = self.known.get(w, 0) + k
         n = len(CHAINS) + 1
@@ -157,7 +161,7 @@ class Classifier:
         self.log[seen == 0] = -50.0
 
     def commoner(self, word: str, other: str) -> bool:
-        """Whether the sample has ``word`` more often than ``other``."""
+        """Whether the corpus has ``word`` more often than ``other``."""
         return self.known.get(word.strip(_EDGE) or word, 0) > self.known.get(other.strip(_EDGE) or other, 0)
 
     def scores(self, word: str) -> np.ndarray:
@@ -193,13 +197,10 @@ class Judge:
             return Verdict(-1 if whole else 0, None, LEAST_ODDS)
         # very long runs are judged by their first characters' bigrams like any other; inversion takes them whole
         s = self.model.scores(word)
-        order = np.argsort(-s)[:6]
-        for c in order:
-            if c == 0:
-                break
+        likely = [int(c) for c in np.argsort(-s) if c and s[c] - s[0] >= LEAST_ODDS]
+        # strict decoding of UTF-8 proves more than odds do
+        for c in sorted(likely, key=lambda c: CHAINS[c - 1][0][0] != "utf-8"):
             odds = float(s[c] - s[0])
-            if odds < LEAST_ODDS:
-                break
             chain = CHAINS[c - 1]
             back = invert(word, chain)
             if back is None and word[-1:] == "Ã":
@@ -210,7 +211,10 @@ class Judge:
             if chain[0][0] != "utf-8" and (self.model.commoner(word, back) or not _lettered(word) or not _lettered(back)):
                 continue
             if self.model.soundness(back) > self.model.soundness(word) + 0.5:
-                return Verdict(int(c), back, odds)
+                return Verdict(c, back, odds)
+            if chain[0][0] == "utf-8":
+                # bytes that are UTF-8 are no single-byte text
+                break
         if _C1.search(word) and not word.isspace():
             return Verdict(-1, None, LEAST_ODDS)
         return Verdict()
@@ -229,8 +233,27 @@ class Judge:
             found = [x for x in found if text[x[0] : x[1]] not in weak]
         if not found:
             return [], False
+        found = self._one_chain(text, found)
         as_text = [x for x in found if not self._example(text, *x)]
-        return found, bool(as_text) or len(found) > 3
+        return found, bool(as_text)
+
+    def _one_chain(self, text: str, found: list[tuple[int, int, Verdict]]) -> list[tuple[int, int, Verdict]]:
+        """A document mostly went through one single-byte chain: its other words are inverted by that one too, if they can be."""
+        odds: dict[int, float] = {}
+        for *_, v in found:
+            if v.chain > 0 and CHAINS[v.chain - 1][0][0] != "utf-8":
+                odds[v.chain] = odds.get(v.chain, 0.0) + v.odds
+        if len(odds) < 2:
+            return found
+        best = max(sorted(odds), key=odds.get)
+        out = []
+        for lo, hi, v in found:
+            if v.chain in odds and v.chain != best:
+                back = invert(text[lo:hi], CHAINS[best - 1])
+                if back is not None and _lettered(back):
+                    v = Verdict(best, back, v.odds)
+            out.append((lo, hi, v))
+        return out
 
     def _example(self, text: str, lo: int, hi: int, v: Verdict) -> bool:
         """Quoted, or in one line with its own sound form."""
@@ -250,16 +273,36 @@ class Judge:
 _QUOTED = re.compile(r"`[^`\n]{1,80}`|(?<!\w)\"[^\"\n]{1,80}\"|(?<!\w)'[^'\n]{1,80}'(?!\w)|“[^”\n]{1,80}”|«[^»\n]{1,80}»")
 
 
+def common_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """In how many documents each word that is not plain ASCII stands, of all documents, from ``KNOWN_SHARE`` of them on.
+
+    Counted before the shuffle; at most (words a document) / share words come to the driver.
+    """
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]"))
+    least = max(KNOWN_FLOOR, int(rows.count() * KNOWN_SHARE))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"([^ \t\n\r]*[^\x00-\x7f][^ \t\n\r]*)"), F.lit(1)))).alias("w")
+    edge = "[" + "".join("\\" + ch for ch in _EDGE) + "]+"
+    bare = rows.select(words).select(F.regexp_replace("w", f"^{edge}|{edge}$", "").alias("w")).where((F.col("w") != "") & (F.length("w") < 64))
+    return {r["w"]: r["n"] for r in bare.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """The classifier from at most ``sample_docs`` documents, chosen by a hash of the key."""
+    """The classifier from at most ``sample_docs`` documents, the first by a hash of the key; word counts are those of all documents."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"[^\x00-\x7f]"))
-    share = max(1, rows.count() // max(1, sample_docs))
-    picked = rows.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(text_col).limit(sample_docs).collect()
+    picked = rows.select(text_col, F.xxhash64(id_col).alias("__h")).orderBy("__h", text_col).limit(sample_docs).collect()
     words: dict[str, int] = {}
-    for (text,) in picked:
+    for text, _ in picked:
         for w in _NON_ASCII_WORD.findall(text):
             words[w] = words.get(w, 0) + 1
-    return Classifier({w: k for w, k in words.items() if len(w) < 200 and not _suspect(w)})
+    known = common_words(docs, text_col)
+    sound = Classifier({}, known)
+
+    def doubtful(w: str) -> bool:
+        # a single-byte chain makes a commoner word of it; short words are words in several alphabets
+        long = sum(ch.isalpha() for ch in w) >= 4
+        return _suspect(w) or long and any((u := invert(w, c)) is not None and u != w and _lettered(u) and sound.commoner(u, w) for c in CHAINS if c[0][0] != "utf-8")
+
+    return Classifier({w: k for w, k in words.items() if len(w) < 200 and not doubtful(w)}, known)
 
 
 _JUDGED = "doc_id bigint, is_case boolean, n_garbled int, chain string, restored string"

@@ -1,24 +1,31 @@
 """Personal information inside free text.
 
 Generators with high recall propose overlapping spans (addresses, e-mail
-addresses, digit runs, runs of name-like tokens); boosted trees judge each span
-by its format and its context; thresholds calibrated on held-out rows select;
-of overlapping spans the surer and longer one stays, and addresses and e-mail
-addresses swallow what stands inside them.  Selected spans are replaced by a
-placeholder of their kind; nothing else of a text changes.
+addresses, digit runs, spoken digits, runs of name-like tokens); boosted trees
+judge each span by its format and its context; thresholds calibrated on held-out
+rows select; of overlapping spans the surer and longer one stays, and addresses
+and e-mail addresses swallow what stands inside them.  Selected spans are
+replaced by a placeholder of their kind; nothing else of a text changes.
 
 The trees are trained here, on sentences made by ``synthetic.py`` from a fixed
-seed; what words are ordinary is counted over the whole corpus (a word counts
-as ordinary from a fixed share of the texts on, so the list is bounded).
+seed, in which a part of the given names is treated as unknown and a part of the
+family names as common, so that a name is known by where and how it stands, not
+by a list.  How words are used is counted over the whole corpus: a word of many
+texts is ordinary if it is mostly written small inside sentences, and proper if
+it is mostly written with a capital.  Both kinds are bounded by the share of
+texts from which a word counts; the class is a feature, and no capitalised run
+is left out because its words are common.
 
 Defined cases: null and empty texts hold nothing; texts of any length are read
 whole; a text written twice is judged twice alike; occurrences of a kind count
-from 1 in reading order within one field.
+from 1 in reading order within one field; a name has ``NAME_TOKENS`` words at
+most.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +38,14 @@ from tessella.llm.names import NICKNAMES, TITLES, fold
 from tessella.plans.durable import spread
 
 KINDS = ("email", "phone", "identity", "address", "name")
-#: A word is ordinary when it stands in more than this share of the texts and in ``ORDINARY_FLOOR`` of them: at most
-#: (words a text) / share ordinary words.
-ORDINARY_SHARE = 1e-4
-ORDINARY_FLOOR = 5
+#: A word is common when it stands in more than this share of the texts and in ``COMMON_FLOOR`` of them: at most
+#: (words a text) / share common words.
+COMMON_SHARE = 1e-4
+COMMON_FLOOR = 5
+#: ... and proper, if at least so many uses inside sentences are known, of which more than this share has a capital.
+PROPER_USES, PROPER_SHARE = 5, 0.5
+#: Words of the longest name.
+NAME_TOKENS = 12
 
 _SHORT = {s for v in NICKNAMES.values() for s in v.split()}
 GIVEN = frozenset(NICKNAMES) | _SHORT
@@ -65,6 +76,14 @@ _RUN = re.compile(r"(?<![\w.,/:-])(?:\+|\(\+?|00)?\d(?:(?:[ .\-–]|\)[ .-]?| \(
 _PASS = re.compile(r"(?<!\w)[A-Za-z]{2}\d{6,9}(?!\w)")
 _DDD = re.compile(r",?\s(?:ddd|area code|code)\s\d{2,3}", re.I)
 _EXT = re.compile(r",?\s?(?:ext|ramal|extension|r)\.?\s?\d{1,5}\b", re.I)
+#: Digits as words, in English and Portuguese (fixed values).
+_SPOKEN = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "um": "1", "dois": "2", "tres": "3", "três": "3", "quatro": "4", "cinco": "5", "seis": "6", "meia": "6", "sete": "7", "oito": "8", "nove": "9",
+}
+_SAID = "|".join(sorted(_SPOKEN, key=len, reverse=True))
+_SPELT = re.compile(rf"(?<![\w])(?:{_SAID}|\d)(?:[ ,.-]{{1,2}}(?:{_SAID}|\d{{1,4}})){{5,}}(?![\w])", re.I)
+_SAID_WORD = re.compile(rf"\b(?:{_SAID})\b", re.I)
 _TOKEN = re.compile(rf"[{_L}]+(?:['’-][{_L}]+)*\.?")
 _PARTICLES = frozenset("de da do dos das del von van".split())
 
@@ -129,7 +148,7 @@ def _mail_features(m: str) -> list[int]:
 
 def _address_features(a: str, left: str, looks: list[tuple]) -> list[int]:
     return [
-        sum(v[6] for v in looks), sum(v[5] and v[7] not in _STREET_WORDS for v in looks),
+        sum(v[6] or (v[8] and v[7] not in _STREET_WORDS) for v in looks), sum(v[5] and v[7] not in _STREET_WORDS for v in looks), sum(v[8] and v[7] not in _STREET_WORDS for v in looks),
         int(bool(re.search(r"\d", a))), int("s/n" in a.lower()), int(" km" in a.lower()), int(bool(re.search(r"\d{5}-?\d{3}", a))), min(15, len(a) // 5),
         int(bool(re.search(r"apto?|apt|bloco|casa|flat|fundos", a, re.I))), int(bool(re.match(r"[A-ZÀ-Ý\d]", a))), a.count(","), int(bool(_LEFT.search(left) and _LEFT.search(left).lastgroup == "o")),
     ]
@@ -145,36 +164,57 @@ def _whole_address(m: re.Match, words: "_Words") -> int:
     end = m.end()
     for group in ("town2", "town1"):
         town = m.groupdict().get(group)
-        if town and not all(words.look(w)[5] for w in _TOKEN.findall(town)):
+        if town and not all(words.look(w)[5] or words.look(w)[8] for w in _TOKEN.findall(town)):
             end = m.start(group)
     return end
 
 
 class _Words:
-    """Which words are ordinary, by their folded form."""
+    """The classes of words, by their folded form."""
 
-    def __init__(self, ordinary: frozenset):
-        self.ordinary = ordinary
+    def __init__(self, ordinary: frozenset, proper: frozenset = frozenset()):
+        self.ordinary, self.proper = ordinary, proper
         self.memo: dict[str, tuple] = {}
 
+    def classes(self, f: str) -> tuple[bool, bool, bool]:
+        """(known given name, ordinary, proper)."""
+        return f in GIVEN, f in self.ordinary, f in self.proper
+
     def look(self, token: str) -> tuple:
-        """(given, doubtful, initial, particle, title, ordinary, rare, letters)."""
+        """(given, doubtful, initial, particle, title, ordinary, rare, letters, proper)."""
         v = self.memo.get(token)
         if v is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
             f = fold(token.rstrip(".")).replace("'", "").replace("’", "")
-            given = f in GIVEN
-            initial = len(f) == 1
-            v = self.memo[token] = (given, given and f in DOUBTFUL, initial, f in _PARTICLES, f in TITLES and len(f) > 1, f in self.ordinary and not given, f not in self.ordinary and not given and len(f) > 3, f)
+            given, ordinary, proper = self.classes(f)
+            rest = not given and len(f) > 1
+            v = self.memo[token] = (given, given and f in DOUBTFUL, len(f) == 1, f in _PARTICLES, f in TITLES and len(f) > 1, ordinary and rest, rest and not ordinary and not proper and len(f) > 3, f, rest and proper and not ordinary)
         return v
 
 
+class _TrainingWords(_Words):
+    """For the synthetic texts: every fourth given name is unknown, every seventh family name common, names of things any of them."""
+
+    def __init__(self, ordinary: frozenset, things: frozenset):
+        super().__init__(ordinary)
+        self.things = things
+
+    def classes(self, f: str) -> tuple[bool, bool, bool]:
+        lot = zlib.crc32(f.encode("utf-8", "surrogatepass"))
+        if f in self.things:
+            return f in GIVEN, lot % 6 == 0, lot % 6 > 1
+        if f in self.ordinary:
+            return f in GIVEN, f not in GIVEN, False
+        known = f in GIVEN and lot % 4 > 0
+        return known, False, not known and lot % 7 == 0 and len(f) > 2
+
+
 def _name_spans(text: str, words: _Words, covered: list[tuple[int, int]]) -> list[Span]:
     toks = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
     looks = [words.look(t) for *_, t in toks]
     n = len(toks)
-    seeds = [i for i in range(n) if looks[i][0] or (looks[i][4]) or (looks[i][6] and (toks[i][2][0].isupper() or (i and looks[i - 1][0]))) or (looks[i][2] and toks[i][2][0].isupper() and i + 1 < n and looks[i + 1][6])]
+    seeds = [i for i in range(n) if looks[i][0] or looks[i][4] or (looks[i][8] and toks[i][2][0].isupper()) or (looks[i][6] and (toks[i][2][0].isupper() or (i and looks[i - 1][0]))) or (looks[i][2] and toks[i][2][0].isupper() and i + 1 < n and looks[i + 1][6])]
     out, done = [], set()
 
     def inside(lo: int, hi: int) -> bool:
@@ -184,8 +224,8 @@ def _name_spans(text: str, words: _Words, covered: list[tuple[int, int]]) -> lis
         return text[toks[i][1] : toks[i + 1][0]] if i + 1 < n else "\n"
 
     def member(i: int) -> bool:
-        given, _, initial, particle, title, ordinary, rare, _f = looks[i]
-        return given or rare or (initial and toks[i][2][0].isupper()) or particle
+        given, _, initial, particle, _title, _ordinary, rare, _f, proper = looks[i]
+        return given or rare or ((initial or proper) and toks[i][2][0].isupper()) or particle
 
     for s in seeds:
         if looks[s][4]:
@@ -207,7 +247,7 @@ def _name_spans(text: str, words: _Words, covered: list[tuple[int, int]]) -> lis
                 if not looks[last][3] and (first, last) not in done and not inside(lo, hi):
                     done.add((first, last))
                     out.append(Span("name", lo, hi, _name_features(text, toks, looks, first, last, lo, hi, comma, member, gap)))
-                if last + 1 >= n or last - first >= 5 or not member(last + 1):
+                if last + 1 >= n or last - first >= NAME_TOKENS - 1 or not member(last + 1):
                     break
                 g = gap(last)
                 stops = toks[last][2].endswith(".") and not looks[last][2]
@@ -237,6 +277,7 @@ def _name_features(text, toks, looks, first, last, lo, hi, comma, member, gap) -
         int(tied_left and member(before) and not looks[before][4] and (toks[before][2][0].isupper() or looks[before][0])), int(tied_right and looks[after][6]), int(tied_right and (looks[after][0] or looks[after][2])),
         int(tied_right and toks[after][2][0].isupper()), int(lo == 0 or text[lo - 1] in "\n" or left.strip() == ""), int(hi >= len(text) or text[hi] in ".,;\n!?"),
         int(bool(_FIRM.search(text[max(0, lo - 16) : hi + 14]))), sum(looks[i][3] for i in span), int(last + 1 < len(toks) and gap(last) == ", " and looks[after][0]), int(first > 0 and gap(before) == ", " and looks[before][6] and (toks[before][2][0].isupper())),
+        sum(looks[i][8] for i in span), int(looks[first][8]), int(looks[last][8]), int(tied_right and looks[after][8] and toks[after][2][0].isupper()), int(tied_left and looks[before][8] and toks[before][2][0].isupper()), int(tied_left and looks[before][5]), int(tied_right and looks[after][5]),
         int(tied_right and looks[after][3]), int(tied_left and looks[before][3]), int(text[hi : hi + 1] in "=:" if hi < len(text) else 0), int(lo > 0 and text[lo - 1] in "@/_#"), int(text[hi : hi + 2].strip()[:1].isdigit() if hi < len(text) else 0),
     ]
 
@@ -273,6 +314,14 @@ def propose(text: str, words: _Words) -> list[Span]:
                 if rx is _RUN:
                     d = _DDD.match(text, hi) or _EXT.match(text, hi)
                     spans.append(Span("phone", lo, d.end() if d else hi, x))
+    for m in _SPELT.finditer(text):
+        lo, hi = m.span()
+        run = _SAID_WORD.sub(lambda w: _SPOKEN[w[0].lower()], m[0])
+        if m[0] != run and not any(a < hi and lo < b for a, b in covered):
+            # judged as the digits that are said, in one run
+            x = _number_features(text, lo, hi, re.sub(r"\D", "", run))
+            spans += [Span("phone", lo, hi, x), Span("identity", lo, hi, x)]
+            covered.append((lo, hi))
     spans += _name_spans(text, words, covered)
     return spans
 
@@ -314,7 +363,7 @@ def trained() -> Models:
     from tessella.llm import synthetic
 
     rows: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in KINDS}
-    words = _Words(synthetic.ordinary_words())
+    words = _TrainingWords(synthetic.ordinary_words(), synthetic.things())
     for number, (text, truth) in enumerate(synthetic.sentences()):
         marked = {(k, lo, hi) for k, lo, hi in truth}
         for s in propose(text, words):
@@ -336,19 +385,29 @@ def trained() -> Models:
 # ---- dataflow
 
 
-def ordinary_words(fields: DataFrame) -> frozenset:
-    """The words that stand in more than a fixed share of the texts.
+def word_classes(fields: DataFrame) -> tuple[frozenset, frozenset]:
+    """(ordinary, proper): the words that stand in more than a fixed share of the texts, by how they are written inside sentences.
 
     Counted over all texts, combined before the shuffle; what comes to the driver is bounded by the share.
     """
     # copies of one text, whatever their dress, count once
     letters = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", ""))
-    texts = fields.select(letters.alias("h"), F.lower("text").alias("text")).groupBy("h").agg(F.first("text").alias("text"))
+    texts = fields.select(letters.alias("h"), "text").groupBy("h").agg(F.min("text").alias("text"))
     n = fields.count()
-    least = max(ORDINARY_FLOOR, int(n * ORDINARY_SHARE))
-    tokens = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,})"), F.lit(1)))).alias("w")
-    rows = texts.select(tokens).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("w")
-    return frozenset(fold(r["w"]) for r in rows.collect())
+    least = max(COMMON_FLOOR, int(n * COMMON_SHARE))
+    zero, one = F.lit(0), F.lit(1)
+    all_ = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1))), lambda w: F.struct(w.alias("w"), one.alias("n"), zero.alias("uses"), zero.alias("capital")))
+    # words after a small letter or a digit stand inside a sentence; words written large say nothing
+    inside = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<=[\p{Ll}\p{N}],? )(\p{L}{2,})"), F.lit(1))), lambda w: w != F.upper(w))
+    used = F.transform(inside, lambda w: F.struct(F.lower(w).alias("w"), zero.alias("n"), one.alias("uses"), w.rlike(r"^\p{Lu}").cast("int").alias("capital")))
+    rows = texts.select(F.explode(F.concat(all_, used)).alias("e")).groupBy("e.w").agg(F.sum("e.n").alias("n"), F.sum("e.uses").alias("uses"), F.sum("e.capital").alias("capital"))
+    seen: dict[str, list[int]] = {}
+    for r in rows.where(F.col("n") > least).select("w", "uses", "capital").collect():
+        uses = seen.setdefault(fold(r["w"]), [0, 0])
+        uses[0] += r["uses"]
+        uses[1] += r["capital"]
+    proper = frozenset(w for w, (uses, capital) in seen.items() if uses >= PROPER_USES and capital > PROPER_SHARE * uses)
+    return frozenset(seen) - proper, proper
 
 
 def text_fields(turns: DataFrame, memories: DataFrame) -> DataFrame:
@@ -361,7 +420,7 @@ def text_fields(turns: DataFrame, memories: DataFrame) -> DataFrame:
 
 def _judge_batches(shared, words_shared, emit):
     def run(batches):
-        models, words = shared.value, _Words(words_shared.value)
+        models, words = shared.value, _Words(*words_shared.value)
         memo: dict[str, tuple] = {}
         for b in batches:
             texts = b.column(b.schema.names.index("text")).to_pylist()
@@ -379,7 +438,7 @@ def _judge_batches(shared, words_shared, emit):
 def occurrences(fields: DataFrame) -> DataFrame:
     """tbl, row_id, field_name, pii_kind, nth: one row per occurrence."""
     sc = fields.sparkSession.sparkContext
-    shared, words = sc.broadcast(trained()), sc.broadcast(ordinary_words(fields))
+    shared, words = sc.broadcast(trained()), sc.broadcast(word_classes(fields))
 
     def emit(b, texts, memo):
         at, kinds, nths = [], [], []
@@ -407,7 +466,7 @@ def redact(text: str, spans: tuple) -> str:
 def redacted(fields: DataFrame) -> DataFrame:
     """tbl, row_id, field_name, text: every text with its personal information replaced by typed placeholders."""
     sc = fields.sparkSession.sparkContext
-    shared, words = sc.broadcast(trained()), sc.broadcast(ordinary_words(fields))
+    shared, words = sc.broadcast(trained()), sc.broadcast(word_classes(fields))
 
     def emit(b, texts, memo):
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([redact(t, memo[t]) for t in texts], pa.string())], names=["tbl", "row_id", "field_name", "text"])

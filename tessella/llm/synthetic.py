@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from tessella.llm.names import NICKNAMES, TITLES, fold
 
-SEED, N_SENTENCES = 20, 9_000
+SEED, N_SENTENCES = 20, 14_000
 
 _FULL = sorted(NICKNAMES)
 _SHORTS = sorted({s for v in NICKNAMES.values() for s in v.split()})
@@ -22,13 +22,18 @@ _ENDS = "ro do ger mann son ssi lli ira ova enko ard olt ung ani ede eiro ães i
 _TITLES = ["Dr.", "Dra.", "Sr.", "Sra.", "Mr", "Ms.", "Mrs.", "Prof.", "Prof", "dona"]
 _TOWNS = ["Campo Belo", "Northwick", "Águas Claras", "Eastbrook", "Monte Verde", "Port Alder", "Vila Nova", "Greenholm"]
 _PETS = ["Rex", "Fumaça", "Biscoito", "Pipoca", "Shadow", "Ginger", "Mel", "Luna"]
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "March", "July", "October", "December", "Easter", "Natal"]
 _PLANS = ["Ouro", "Prata", "Horizonte", "Gold", "Basic", "Solar"]
 _THINGS = ["vaso", "tear", "cadeado", "forno", "bilhete", "bicycle", "kiln", "loom", "invoice", "ticket", "seedling", "corrente"]
+_SAY_EN = "zero one two three four five six seven eight nine".split()
+_SAY_PT = "zero um dois três quatro cinco seis sete oito nove".split()
 _HOSTS = ["correio", "mail", "posta", "caixa.norte", "inbox", "web-post", "box9"]
 _ROOTS = ["example", "test", "invalid", "com", "org", "com.br"]
 
 #: Sentences with something personal in them.
 _PERSONAL = [
+    "dear {name},", "hi {name},", "thanks, {name}", "best, {name}", "talk to {name} about the price", "I met {name} at the office", "{name} wrote back", "my sister {name} called", "prezado {name},", "oi {name},", "valeu, {name}", "att, {name}", "fale com {name} sobre o preço", "encontrei {name} no escritório", "{name} respondeu", "meu irmão {name} passou aí",
+    "{spoken}", "my phone is {spoken}", "it is {spoken}", "meu telefone é {spoken}", "liga no {spoken}", "call {spoken} please",
     "aqui é {name}", "this is {name}", "falei ontem com {name}", "I spoke with {name} yesterday", "obrigado, {name}", "thank you {name}", "assinado, {name}", "regards, {name}",
     "ask {name} at the desk", "pergunte para {name} no balcão", "a reserva está em nome de {name}", "it is booked under {name}", "minha filha {name} também vai", "my son {name} comes too", "cc {name}",
     "quem vai retirar é {name}", "the pickup is by {name}", "a turma de {name} lotou", "the group of {name} is full", "{name}", "meu nome é {name}", "my name is {name}", "o cliente {name} ligou", "{name} ligou ontem", "deixei com {name} na portaria",
@@ -40,6 +45,9 @@ _PERSONAL = [
 ]
 #: Sentences with nothing personal, and with what looks like it.
 _TRAPS = [
+    "I need it by {Day} ok", "it broke and I need it by {Day} please", "see you on {Day}", "not before {Day} then", "{Day} works for me", "closed for {Day} and {Day}", "até {Day}, obrigado", "THE FRAME IS A {TOWN} 29", "the {plan} one is in the {Town} box",
+    "(ref K00–{n7})", "note Q00 {n7}", "REF q00–{n7}", "ficha M00 {n7}", "ref R12 {n8} closed", "case 4–{n7} is open", "use code @{COUPON}{n4} today",
+    "the {Town} office is open", "we flew to {Town} last week", "{Town} is far away", "the {plan} edition is out", "{pet} sleeps all day", "fomos a {Town} na semana passada", "a edição {plan} saiu", "chapter one two three", "count one two three four five", "um dois três e já", "see {Town} and {Town}", "buy {plan} or {plan}", "the {Fam} method works", "o teorema de {Fam} vale", "a rua {Fam} fechou",
     "o pedido nº {n10} veio errado", "order no. {n10} came wrong", "recebi o protocolo {year}-{n8}, e agora?", "I got ticket {year}-{n8}, what now?", "o app travou na versão {ver}", "the app hung on build {ver}", "mark it as paid, bill {n10}", "lote {n10}", "please note lot {n10}",
     "o valor cobrado foi {price} reais", "I was charged {price} dollars", "código de rastreio {track} não aparece", "tracking {track} shows nothing", "a peça custa {price}", "the kiln hit 1180 degrees at {clock}", "medi {n6} gramas de argila", "o forno chegou a {n6} graus", "the frame is a {Town} 29, serial {n10}", "o boleto termina em {n4}", "the card ends in {n4}",
     "meu cachorro {pet} comeu o {thing}", "my dog {pet} ate the {thing}", "quero o plano {plan} com entrega", "I want the {plan} plan", "moro em {Town} mesmo", "I live in {Town}", "mark my words, grace is thin here", "existe período de graça para a {thing}?", "falei ontem com a equipe", "I spoke with the front desk yesterday", "obrigado, equipe", "thank you all", "quem vai retirar é o motorista", "the pickup is by noon",
@@ -93,6 +101,11 @@ class _Maker:
             f"+1 (555) 555-{d(4)}", f"+44 20 7946 {d(4)}", f"{a}{b}{c}", f"{b}-{c}", f"3{d(3)}-{c} ramal {d(2)}", f"+1-555-{d(3)}-{d(4)}",
         ])
 
+    def spoken(self) -> str:
+        """A phone number said digit by digit."""
+        words = self.r.choice((_SAY_EN, _SAY_PT))
+        return self.r.choice((" ", " ", ", ", "-")).join(words[int(c)] for c in self.digits(self.r.choice((7, 8, 9, 10, 11))))
+
     def identity(self) -> str:
         r, d = self.r, self.digits
         dots = f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"
@@ -129,7 +142,7 @@ class _Maker:
             return f"{d(3)}.{d(3)}" if n == 6 else d(n)
         return {
             "year": lambda: str(r.randint(2020, 2027)), "ver": lambda: f"{r.randint(1, 12)}.{r.randint(0, 30)}.{r.randint(0, 30)}.{r.randint(0, 255)}", "price": lambda: r.choice((f"{r.randint(1, 999)},{d(2)}", f"{r.randint(1, 999)}.{d(2)}", f"1.{d(3)},{d(2)}-")),
-            "track": lambda: "".join(r.choice("ABCDEFGHJKNPRSVXYZ") for _ in range(2)) + d(9) + "ZZ", "clock": lambda: f"{d(2)}:{d(2)}:{d(2)}", "pet": lambda: r.choice(_PETS), "plan": lambda: r.choice(_PLANS), "Town": lambda: r.choice(_TOWNS), "thing": lambda: r.choice(_THINGS), "COUPON": lambda: r.choice(_THINGS).upper(), "Fam": self.family,
+            "track": lambda: "".join(r.choice("ABCDEFGHJKNPRSVXYZ") for _ in range(2)) + d(9) + "ZZ", "clock": lambda: f"{d(2)}:{d(2)}:{d(2)}", "pet": lambda: r.choice(_PETS), "plan": lambda: r.choice(_PLANS), "Day": lambda: r.choice(_DAYS), "TOWN": lambda: r.choice(_TOWNS).upper(), "Town": lambda: r.choice(_TOWNS), "thing": lambda: r.choice(_THINGS), "COUPON": lambda: r.choice(_THINGS).upper(), "Fam": self.family,
         }[key]()
 
 
@@ -149,9 +162,9 @@ def sentences() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
             for i, piece in enumerate(_SLOT.split(rng.choice(_PERSONAL if rng.random() < 0.55 else _TRAPS))):
                 if i % 2 == 0:
                     text += piece
-                elif piece in ("phone", "identity", "email", "address"):
+                elif piece in ("phone", "identity", "email", "address", "spoken"):
                     value = getattr(mk, piece)()
-                    truth.append((piece, len(text), len(text) + len(value)))
+                    truth.append(("phone" if piece == "spoken" else piece, len(text), len(text) + len(value)))
                     text += value
                 elif piece == "name":
                     before, value = mk.name()
@@ -168,9 +181,14 @@ def sentences() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
         yield text, truth
 
 
+def things() -> frozenset:
+    """The words of towns, pets and plans: written with a capital, and no names of persons."""
+    return frozenset(fold(w) for t in _TOWNS + _PETS + _PLANS + _DAYS for w in re.findall(r"[^\W\d_]{2,}", t))
+
+
 def ordinary_words() -> frozenset:
     """The words of the templates."""
     out = set()
-    for t in _PERSONAL + _TRAPS + _TOWNS + _PETS + _PLANS + _THINGS:
+    for t in _PERSONAL + _TRAPS + _THINGS:
         out |= {fold(w) for w in re.findall(r"[^\W\d_]{2,}", _SLOT.sub(" ", t))}
     return frozenset(out - set(_FULL) - TITLES)

@@ -186,6 +186,8 @@ def test_leaks_against_all_pairs(spark):
     assert len(want) > 5
     for size in (leaks.BLOCK_CHARS, 300):
         assert {tuple(r) for r in leaks.leaked(D, I, block_chars=size).distinct().collect()} == want
+    cleaned = sorted(map(str, leaks.without_spans(D, I).collect()))
+    assert sorted(map(str, leaks.without_spans(D, I, block_chars=300).collect())) == cleaned
     clean = leaks.without_spans(D, I)
     assert {r.doc_id for r in clean.where("n_removed > 0").collect()} == {d for d, _ in want}
     assert leaks.leaked(clean.select("doc_id", "text"), I).collect() == []
@@ -235,6 +237,18 @@ def test_sound_texts_and_examples(judge):
     assert judge.document("Está tudo bem, mas a informaÃ§Ã£o nÃ£o veio")[1]
 
 
+def test_many_quoted_examples_are_no_case(judge):
+    quoted = 'Words like "pequeÃ±o", "maÃ§Ã£", "nÃ£o", "estÃ¡" and "Ã©" stand in the log'
+    found, case = judge.document(quoted)
+    assert len(found) >= 4 and not case
+    assert judge.document(quoted + " e nÃ£o sei porquÃª")[1]
+
+
+def test_counts_of_words_cover_all_documents(spark):
+    df = spark.createDataFrame([(k, "é «à» café", "c") for k in range(5)] + [(9, "só", "c"), (10, None, "c"), (11, "plain", "c")], "doc_id bigint, text string, chain string")
+    assert mojibake.common_words(df) == {"é": 5, "à": 5, "café": 5}
+
+
 def test_garbled_dataflow(spark):
     g = [mojibake.garble(t, (("utf-8", "cp1252"),)) for t in SOUND]
     rows = [(k, t, "c") for k, t in enumerate(SOUND * 30)] + [(1000 + k, t, "c") for k, t in enumerate(g)] + [(2000 + k, t, "c") for k, t in enumerate(NULLS)]
