@@ -1,44 +1,53 @@
-"""Pending-orphan state kept by a stream: references wait under their key until their parent arrives."""
+"""The pending-orphan ledger kept by a stream: every micro-batch is one increment.
 
-from __future__ import annotations
+The state lies in the ledger's buckets, not in the stream: it has no bound per key, is read by the keys that come, and a
+hot key is no task of its own.  A batch that is tried again after a failure is not taken twice: the ledger's manifest
+names the last one it has taken and is written with it.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessella.operators.orphans import Ledger
+from tessella.sources.snapshots import read_text, replace_text
 
 #: An event is a reference, a parent's arrival or its deletion.
-EVENTS = "ref_kind string, ref_key string, event string, row_id bigint, at timestamp"
-OUT = "ref_kind string, ref_key string, row_id bigint, change string"
-
-
-def watch(events: DataFrame) -> DataFrame:
-    """row_id with ``change``: ``waits``, ``resolved`` or ``reopened``, as events arrive.
-
-    State per key: whether the parent is there, the references waiting for it and those resting on it.  Within a
-    micro-batch a key's events apply in time order, a parent before references of its moment.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        there, waiting, resting = state.get if state.exists else (False, [], [])
-        waiting, resting, out = list(waiting), list(resting), []
-        order = {"delete": 0, "parent": 1, "reference": 2}
-        rows = pd.concat(list(frames))
-        rows = rows.assign(o=rows["event"].map(order)).sort_values(["at", "o", "row_id"])
-        for e in rows.itertuples():
-            if e.event == "parent":
-                out += [(r, "resolved") for r in waiting]
-                there, resting, waiting = True, resting + waiting, []
-            elif e.event == "delete":
-                out += [(r, "reopened") for r in resting]
-                there, waiting, resting = False, waiting + resting, []
-            elif there:
-                resting.append(int(e.row_id))
-            else:
-                waiting.append(int(e.row_id))
-                out.append((int(e.row_id), "waits"))
-        state.update((there, waiting, resting))
-        yield pd.DataFrame([(key[0], key[1], r, c) for r, c in out], columns=["ref_kind", "ref_key", "row_id", "change"])
-
-    return events.groupBy("ref_kind", "ref_key").applyInPandasWithState(step, OUT, "there boolean, waiting array<bigint>, resting array<bigint>", "append", GroupStateTimeout.NoTimeout)
+EVENTS = "tbl string, field_name string, ref_kind string, ref_key string, event string, row_id bigint, at timestamp"
+
+
+def take(ledger: Ledger, batch: DataFrame, number: int) -> bool:
+    """Moves the ledger by one batch of events, once: deletions, then arrivals, then references."""
+    spark, pointer = ledger.spark, f"{ledger.path}/CURRENT"
+    held = read_text(spark, pointer)
+    if held is not None:
+        done, manifest = held.split("\n", 1)
+        if int(done) >= number:
+            return False
+        # what a failed try has left behind is not in the manifest
+        again = Ledger.resume(spark, ledger.path, manifest)
+        ledger.parents, ledger.refs = again.parents, again.refs
+    at = F.col("at").cast("timestamp_ntz")
+    of = lambda kind: batch.where(F.col("event") == kind)
+    ledger.advance(
+        of("reference").select("tbl", "field_name", "row_id", "ref_kind", "ref_key", at.alias("ref_at"), F.lit(None).cast("timestamp_ntz").alias("parent_at")),
+        of("parent").select("ref_kind", "ref_key", at.alias("parent_at")),
+        of("delete").select("ref_kind", "ref_key"),
+    )
+    replace_text(spark, pointer, f"{number}\n{ledger.manifest()}")
+    return True
+
+
+def follow(events: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQuery:
+    """Starts keeping the ledger by a stream of ``EVENTS``; ``ledger.cases()`` and ``snapshot()`` can be read at any time."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            take(ledger, rows, number)
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).start()

@@ -1,6 +1,8 @@
+import json
 from datetime import datetime, timedelta
 
 from tessella.operators import consolidation, memories
+from tessella.operators.orphans import Ledger
 from tessella.sources.snapshots import Snapshots, markdown_files, turns_from_json, turns_to_json
 from tessella.streaming import orphans as stream_orphans
 from tessella.streaming import turns as stream_turns
@@ -40,14 +42,29 @@ def test_window_stream_is_bounded(spark, tmp_path):
 
 
 def test_orphan_stream(spark, tmp_path):
-    rows = [("n", "k", "reference", 1, T), ("n", "k", "parent", None, T + timedelta(1)), ("n", "k", "reference", 2, T + timedelta(2)), ("n", "k", "delete", None, T + timedelta(3)), ("n", "z", "reference", 3, T)]
-    got = drain(stream_orphans.watch(feed(spark, tmp_path, stream_orphans.EVENTS, [rows])), "orph", "append", tmp_path)
-    assert sorted((r.row_id, r.change) for r in got) == [(1, "reopened"), (1, "resolved"), (1, "waits"), (2, "reopened"), (3, "waits")]
+    one = [("e", "f", "n", "k", "reference", 1, T), ("e", "f", "n", "z", "reference", 3, T)]
+    two = [("", "", "n", "k", "parent", None, T + timedelta(1)), ("e", "f", "n", "k", "reference", 2, T + timedelta(2))]
+    three = [("", "", "n", "k", "delete", None, T + timedelta(3))]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    seen = []
+    for upto in (1, 2, 3):
+        feed(spark, tmp_path, stream_orphans.EVENTS, [(one, two, three)[upto - 1]])
+        events = spark.readStream.schema(stream_orphans.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream_orphans.follow(events, ledger, str(tmp_path / "cp"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        seen.append(sorted((r.row_id, r.ref_state) for r in ledger.cases().collect()))
+    assert seen == [[(1, "missing"), (3, "missing")], [(1, "late"), (3, "missing")], [(1, "missing"), (2, "missing"), (3, "missing")]]
+    # a batch that comes again is not taken again
+    again = spark.createDataFrame(one, stream_orphans.EVENTS)
+    assert not stream_orphans.take(ledger, again, 0) and ledger.refs.read().count() == 3
 
 
 def test_snapshots_merge_and_swap(spark, tmp_path):
     schema = "id string, scope string, category string, content string, confidence float, feedback_score float, first_heard_by string, embedding array<float>, created_at timestamp_ntz"
-    store = Snapshots(spark, str(tmp_path / "mem"), bucket_by="scope", buckets=2)
+    store = Snapshots(spark, str(tmp_path / "mem"), bucket_by="scope", buckets=16)
     assert store.read() is None and store.current() is None
     rule = lambda old, new: memories.save(new, old).drop("n_writes").select(*new.columns)
     store.merge(spark.createDataFrame([("a", "s", "c", "x", 0.5, 1.0, "v", [1.0], T)], schema), rule)
@@ -56,6 +73,11 @@ def test_snapshots_merge_and_swap(spark, tmp_path):
     assert store.current() != first
     assert sorted((r.id, r.scope, r.confidence, r.feedback_score, r.first_heard_by, r.embedding) for r in store.read().collect()) == [("a", "s", 0.75, 1.0, "v", [1.0]), ("c", "t", 0.5, 0.0, "w", None)]
     assert store.vacuum() == 1 and store.read().count() == 2
+    # a merge leaves the folders of other buckets as they are
+    before = json.loads(store.current())["folders"]
+    store.merge(spark.createDataFrame([("d", "t", "c", "y", 0.5, 0.0, "w", None, T)], schema), rule)
+    after = json.loads(store.current())["folders"]
+    assert len(before) == 2 and sum(before[b] == after[b] for b in before) == 1 and store.read().count() == 3
 
 
 def test_json_lines_round_trip(spark):
