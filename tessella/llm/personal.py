@@ -83,6 +83,8 @@ _SPOKEN = {
 }
 _SAID = "|".join(sorted(_SPOKEN, key=len, reverse=True))
 _SPELT = re.compile(rf"(?<![\w])(?:{_SAID}|\d)(?:[ ,.-]{{1,2}}(?:{_SAID}|\d{{1,4}})){{5,}}(?![\w])", re.I)
+_SPLIT = re.compile(r"[ ,.-]+")
+_DIGIT = re.compile(r"\d")
 _SAID_WORD = re.compile(rf"\b(?:{_SAID})\b", re.I)
 _TOKEN = re.compile(rf"[{_L}]+(?:['’-][{_L}]+)*\.?")
 _PARTICLES = frozenset("de da do dos das del von van".split())
@@ -121,12 +123,26 @@ def _left(text: str, lo: int, n: int = 34) -> str:
     return s
 
 
-def _number_features(text: str, lo: int, hi: int, run: str) -> list[int]:
-    left = _left(text, lo)
+@lru_cache(maxsize=100_000)
+def _number_cues(left: str) -> tuple[str, str, bool]:
+    """(the last cue before a number, all of them, whether the name of a document stands right before it)."""
     # what stands before another number belongs to that one
     left = re.split(r"\d", left)[-1]
-    cues = [m.lastgroup for m in _LEFT.finditer(left)]
-    last = cues[-1] if cues else ""
+    cues = "".join(m.lastgroup for m in _LEFT.finditer(left))
+    return cues[-1:], cues, bool(_NAMED.search(left))
+
+
+_NAMED = re.compile(r"\b(?:cpf|rg|ssn|passport|social security|passaporte)\W*(?:n[ºo.]*)?\W*$", re.I)
+
+
+@lru_cache(maxsize=100_000)
+def _name_cues(left: str) -> tuple[int, int, int, int]:
+    """Whether a person, a pet or a thing is announced before a name, and whether nothing stands there."""
+    return int(bool(_PERSON_CUE.search(left))), int(bool(_PET_CUE.search(left))), int(bool(_THING_CUE.search(left))), int(left.strip() == "")
+
+
+def _number_features(text: str, lo: int, hi: int, run: str) -> list[int]:
+    last, cues, named = _number_cues(_left(text, lo))
     groups = re.findall(r"\d+", run)
     lens = [len(g) for g in groups]
     right = text[hi : hi + 16]
@@ -138,7 +154,7 @@ def _number_features(text: str, lo: int, hi: int, run: str) -> list[int]:
         int(lens[-2:] in ([4, 4], [5, 4], [3, 4])), int("555" in groups), int(len(lens) == 5 and lens[0] == 1),
         int(last == "p"), int(last == "i"), int(last == "o"), int("p" in cues), int("i" in cues), int("o" in cues),
         int(bool(re.match(r"\s?\((?:cpf|rg|ssn)", right, re.I))), int(bool(_AFTER_BAD.match(right))), int(right[:1] in ("/", ":", ",") and right[1:2].isdigit()),
-        int(bool(_DDD.match(right))), int(bool(_EXT.match(right))), int(bool(re.search(r"\b(?:cpf|rg|ssn|passport|social security|passaporte)\W*(?:n[ºo.]*)?\W*$", left, re.I))),
+        int(bool(_DDD.match(right))), int(bool(_EXT.match(right))), int(named),
     ]
 
 
@@ -211,10 +227,12 @@ class _TrainingWords(_Words):
 
 
 def _name_spans(text: str, words: _Words, covered: list[tuple[int, int]]) -> list[Span]:
-    toks = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-    looks = [words.look(t) for *_, t in toks]
+    toks = [(*m.span(), m[0]) for m in _TOKEN.finditer(text)]
+    memo = words.memo
+    looks = [memo.get(t[2]) or words.look(t[2]) for t in toks]
     n = len(toks)
-    seeds = [i for i in range(n) if looks[i][0] or looks[i][4] or (looks[i][8] and toks[i][2][0].isupper()) or (looks[i][6] and (toks[i][2][0].isupper() or (i and looks[i - 1][0]))) or (looks[i][2] and toks[i][2][0].isupper() and i + 1 < n and looks[i + 1][6])]
+    # most words are ordinary and begin nothing
+    seeds = [i for i in range(n) if looks[i][4] or not looks[i][5] and (looks[i][0] or (looks[i][8] and toks[i][2][0].isupper()) or (looks[i][6] and (toks[i][2][0].isupper() or (i and looks[i - 1][0]))) or (looks[i][2] and toks[i][2][0].isupper() and i + 1 < n and looks[i + 1][6]))]
     out, done = [], set()
 
     def inside(lo: int, hi: int) -> bool:
@@ -261,7 +279,7 @@ def _name_spans(text: str, words: _Words, covered: list[tuple[int, int]]) -> lis
 
 def _name_features(text, toks, looks, first, last, lo, hi, comma, member, gap) -> list[int]:
     span = range(first, last + 1)
-    left = _left(text, lo)
+    person, pet, thing, alone = _name_cues(_left(text, lo))
     before, after = first - 1, last + 1
     tied_left = before >= 0 and gap(before) in (" ", "  ", "\xa0")
     tied_right = after < len(toks) and gap(last) in (" ", "  ", "\xa0") and not (toks[last][2].endswith(".") and not looks[last][2])
@@ -273,9 +291,9 @@ def _name_features(text, toks, looks, first, last, lo, hi, comma, member, gap) -
     return [
         last - first + 1, sum(given), int(given[0]), sum(rare), sum(looks[i][2] for i in span), int(looks[first][2]), int(looks[last][2]), sum(looks[i][1] for i in span),
         int(all(caps)), int(any(caps)), int(bool(upper) and all(upper)), int(shouted), int(comma), int(comma and given[-1]),
-        int(bool(_PERSON_CUE.search(left))), int(bool(_PET_CUE.search(left))), int(bool(_THING_CUE.search(left))), int(tied_left and looks[before][4]),
+        person, pet, thing, int(tied_left and looks[before][4]),
         int(tied_left and member(before) and not looks[before][4] and (toks[before][2][0].isupper() or looks[before][0])), int(tied_right and looks[after][6]), int(tied_right and (looks[after][0] or looks[after][2])),
-        int(tied_right and toks[after][2][0].isupper()), int(lo == 0 or text[lo - 1] in "\n" or left.strip() == ""), int(hi >= len(text) or text[hi] in ".,;\n!?"),
+        int(tied_right and toks[after][2][0].isupper()), int(lo == 0 or text[lo - 1] in "\n" or alone), int(hi >= len(text) or text[hi] in ".,;\n!?"),
         int(bool(_FIRM.search(text[max(0, lo - 16) : hi + 14]))), sum(looks[i][3] for i in span), int(last + 1 < len(toks) and gap(last) == ", " and looks[after][0]), int(first > 0 and gap(before) == ", " and looks[before][6] and (toks[before][2][0].isupper())),
         sum(looks[i][8] for i in span), int(looks[first][8]), int(looks[last][8]), int(tied_right and looks[after][8] and toks[after][2][0].isupper()), int(tied_left and looks[before][8] and toks[before][2][0].isupper()), int(tied_left and looks[before][5]), int(tied_right and looks[after][5]),
         int(tied_right and looks[after][3]), int(tied_left and looks[before][3]), int(text[hi : hi + 1] in "=:" if hi < len(text) else 0), int(lo > 0 and text[lo - 1] in "@/_#"), int(text[hi : hi + 2].strip()[:1].isdigit() if hi < len(text) else 0),
@@ -293,7 +311,7 @@ def propose(text: str, words: _Words) -> list[Span]:
         for m in _MAIL.finditer(text):
             spans.append(Span("email", m.start(), m.end(), _mail_features(m[0])))
             covered.append(m.span())
-    if any(ch.isdigit() for ch in text) or "s/n" in low:
+    if _DIGIT.search(text) or "s/n" in low:
         for rx in (_STREET, _ROAD):
             for m in rx.finditer(text):
                 lo, hi = m.start(), _whole_address(m, words)
@@ -314,7 +332,7 @@ def propose(text: str, words: _Words) -> list[Span]:
                 if rx is _RUN:
                     d = _DDD.match(text, hi) or _EXT.match(text, hi)
                     spans.append(Span("phone", lo, d.end() if d else hi, x))
-    for m in _SPELT.finditer(text):
+    for m in _SPELT.finditer(text) if not _SPOKEN.keys().isdisjoint(_SPLIT.split(low)) else ():
         lo, hi = m.span()
         run = _SAID_WORD.sub(lambda w: _SPOKEN[w[0].lower()], m[0])
         if m[0] != run and not any(a < hi and lo < b for a, b in covered):
