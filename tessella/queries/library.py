@@ -138,11 +138,11 @@ def _shelf(spark, d):
 _DRAFTED = f"(SELECT b.document_id, b.version, b.owner_key, b.size_bytes, k.ordinal, k.page, k.content, k.embedding FROM {BEGUN} b JOIN kb_chunks k ON k.document_id = b.document_id AND 'c' || lpad(k.version::VARCHAR, 4, '0') = b.sha256)"
 
 
-@query("drafts_pending", f"SELECT document_id, version, n_chunks, pages, est_tokens, row_number() OVER (ORDER BY document_id, version)::INT AS place FROM (SELECT document_id, version, count(*)::INT AS n_chunks, count(DISTINCT page)::INT AS pages, min(size_bytes) AS est_tokens FROM {_DRAFTED} WHERE version % 2 = 0 AND owner_key = 'o3' GROUP BY 1, 2)")
+@query("drafts_pending", f"SELECT document_id, version, n_chunks, pages, est_tokens, row_number() OVER (ORDER BY document_id, version)::INT AS place FROM (SELECT document_id, version, count(*)::INT AS n_chunks, count(DISTINCT page)::INT AS pages, min(size_bytes) AS est_tokens FROM {_DRAFTED} WHERE version % 2 = 0 AND owner_key = 'o2' GROUP BY 1, 2)")
 def _(spark, d):
     lib, rows = _shelf(spark, d)
     empty = ingest.Shelf.empty(spark)
-    return contents.pending(contents.save_drafts(empty.drafts, lib, rows), lib, "o3").drop("expires_at")
+    return contents.pending(contents.save_drafts(empty.drafts, lib, rows), lib, "o2").drop("expires_at")
 
 
 @query("chunks_staged", f"SELECT document_id, version, CASE WHEN version % 2 = 0 THEN 'not_processing' WHEN bool_and(embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) THEN 'staged' ELSE 'bad_vector' END AS outcome FROM {_DRAFTED} GROUP BY 1, 2")
